@@ -34,7 +34,8 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 def normalise_nfkc(text: Column) -> Column:
     """NFKC, which Spark lacks; only texts that it can change are sent to Python."""
-    affected = F.when(~is_ascii(text) & text.rlike(f"[^{NFKC_NEUTRAL}]"), text)
+    # the lookbehind runs on non-ASCII characters only, which is far cheaper than one wide class
+    affected = F.when(~is_ascii(text) & text.rlike(f"[^\\x00-\\x7F](?<![{NFKC_NEUTRAL}])"), text)
     return F.coalesce(F.pandas_udf(_nfkc, StringType())(affected), text)
 
 
@@ -76,6 +77,11 @@ def mention_count(body: Column, needle: Column) -> Column:
     return (matched_bytes(body, needle) / F.nullif(F.octet_length(needle), F.lit(0))).cast("long")
 
 
+def _sql_list(words: Sequence[str]) -> str:
+    """Words as a SQL list: parsed in one go, where a literal per word would be a call each."""
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+
+
 def tokens(body: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Words of two or more word characters, without stop words, in text order."""
     words = F.when(is_ascii(body), F.regexp_extract_all(body, F.lit(WORD_ASCII), 0)).otherwise(
@@ -86,13 +92,23 @@ def tokens(body: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     return F.filter(words, lambda w: ~w.isin(list(stop_words)))
 
 
-def with_bigrams(words: Column) -> Column:
-    """The words followed by every pair of neighbours."""
+def only_words(column: str, allowed: Sequence[str]) -> Column:
+    """The words of an array column with every word outside ``allowed`` turned into null."""
+    if not allowed:
+        return F.transform(column, lambda w: F.lit(None).cast("string"))
+    return F.expr(f"transform(`{column}`, w -> CASE WHEN w IN ({_sql_list(allowed)}) THEN w END)")
+
+
+def neighbours(words: Column) -> Column:
+    """Every pair of neighbouring words, joined by a blank; pairs with a null word are left out.
+
+    The words should be a plain column: the expression refers to them several times.
+    """
     size = F.size(words)
     pairs = F.zip_with(
         F.slice(words, F.lit(1), size - 1), F.slice(words, F.lit(2), size - 1), lambda a, b: F.concat(a, F.lit(" "), b)
     )
-    return F.when(size >= 2, F.concat(words, pairs)).otherwise(words)
+    return F.when(size >= 2, F.array_compact(pairs)).otherwise(F.array().cast("array<string>"))
 
 
 def strip_reasoning(response: Column) -> Column:

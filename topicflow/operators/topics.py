@@ -1,12 +1,14 @@
 """Key topics of a set of texts: TF-IDF over words and word pairs, or a user-supplied model.
 
-The fit takes two passes over the texts and a single shuffle, keyed by term:
-
-1. per term, occurrences and containing texts. Each text lists its terms followed by
-   its distinct terms, so both counts come out of one aggregation with map-side
-   combining and no shuffle by document;
-2. with the capped vocabulary (at most ``max_features`` terms) known, every text becomes
-   a sparse, weighted, normalised vector within its row, and the vectors are summed.
+The vocabulary is the most frequent words and pairs. A pair occurs at most as often as
+either of its words, so only pairs of words that are themselves frequent enough can get
+in. Words are therefore counted first; pairs are then formed from the frequent words
+only, which bounds what the second count shuffles, however large the corpus. Both counts
+list the terms of a text followed by its distinct terms, so that occurrences and
+containing texts come out of one aggregation with map-side combining, keyed by term.
+
+With the vocabulary known, every text becomes a sparse, weighted, normalised vector
+within its row, and the vectors are summed: no shuffle by document anywhere.
 """
 
 from __future__ import annotations
@@ -21,54 +23,84 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from topicflow.functions.text import STOP_WORDS, tokens, topic_lines, with_bigrams
+from topicflow.functions.text import STOP_WORDS, neighbours, only_words, tokens, topic_lines
 from topicflow.operators.models import ModelFactory, complete
 
 MAX_FEATURES = 1000
 MIN_DOCUMENTS = 2
 PROMPT_CHARS = 4000
+FREQUENT_WORDS = 5000
+"""Up to this many words are fetched to prune pairs; with more ties at the cut, nothing is pruned."""
+
 TOPIC_SCHEMA = "rank INT, topic STRING, score DOUBLE"
+TERM_SCHEMA = "term STRING, occurrences BIGINT, documents BIGINT"
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Kept terms with their inverse document frequency, and the number of texts seen."""
+    """Kept terms with their occurrences and containing texts, and the words they are made of."""
 
-    terms: tuple[str, ...]
-    idf: tuple[float, ...]
-    texts: int
+    terms: tuple[tuple[str, int, int], ...]
+    words: frozenset[str]
 
+    def idf(self, texts: int) -> list[float]:
+        return [log((1 + texts) / (1 + documents)) + 1 for _, _, documents in self.terms]
 
-def term_statistics(texts: DataFrame, body: str = "body", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """Occurrences and containing texts of every word and word pair."""
-    grams = texts.select(with_bigrams(tokens(F.col(body), stop_words)).alias("grams"))
-    listed = grams.select(
-        F.size("grams").alias("n"), F.posexplode(F.concat("grams", F.array_distinct("grams"))).alias("pos", "term")
+
+def _counts(lists: DataFrame, column: str) -> DataFrame:
+    """Occurrences and containing texts of every entry of an array column."""
+    listed = lists.select(
+        F.size(column).alias("n"), F.posexplode(F.concat(column, F.array_distinct(column))).alias("pos", "term")
     )
     repeat = F.col("pos") < F.col("n")
-    return listed.groupBy("term").agg(
-        F.count_if(repeat).alias("occurrences"), F.count_if(~repeat).alias("documents")
-    )
+    return listed.groupBy("term").agg(F.count_if(repeat).alias("occurrences"), F.count_if(~repeat).alias("documents"))
+
+
+def _most_frequent(counts: DataFrame, n: int) -> list[tuple[str, int, int]]:
+    rows = counts.orderBy(F.desc("occurrences"), "term").limit(n).collect()
+    return [(r["term"], r["occurrences"], r["documents"]) for r in rows]
+
 
+def _words(texts: DataFrame, body: str, stop_words: Sequence[str]) -> DataFrame:
+    return texts.select(tokens(F.coalesce(body, F.lit("")), stop_words).alias("words"))
 
-def kept_terms(
+
+def _pairs(words: DataFrame, allowed: frozenset[str] | None) -> DataFrame:
+    """The frequent words of each text (null elsewhere) and the pairs they form."""
+    frequent = F.col("words") if allowed is None else only_words("words", sorted(allowed))
+    return words.select(frequent.alias("frequent")).select("frequent", neighbours(F.col("frequent")).alias("pairs"))
+
+
+def fit_vocabulary(
     texts: DataFrame,
     body: str = "body",
     max_features: int = MAX_FEATURES,
     min_documents: int = MIN_DOCUMENTS,
     stop_words: Sequence[str] = STOP_WORDS,
-) -> DataFrame:
-    """The most frequent terms among those found in enough texts."""
-    common = term_statistics(texts, body, stop_words).where(F.col("documents") >= min_documents)
-    return common.orderBy(F.desc("occurrences"), "term").limit(max_features)
-
+) -> Vocabulary:
+    """The most frequent words and pairs found in enough texts; ties by term.
 
-def fit_vocabulary(texts: DataFrame, body: str = "body", **options) -> Vocabulary:
-    """Runs the first pass; at most ``max_features`` rows come back to the driver."""
-    rows = kept_terms(texts, body, **options).collect()
-    n = texts.count()
-    idf = tuple(log((1 + n) / (1 + r["documents"])) + 1 for r in rows)
-    return Vocabulary(tuple(r["term"] for r in rows), idf, n)
+    Two jobs run, each returning a number of rows bounded by the vocabulary size.
+    """
+    words = _words(texts, body, stop_words)
+    fetched = max(FREQUENT_WORDS, max_features)
+    common = F.col("documents") >= min_documents
+    singles = _most_frequent(_counts(words, "words").where(common), fetched)
+    allowed = None
+    if len(singles) < fetched:
+        allowed = frozenset(t for t, _, _ in singles)
+    if len(singles) >= max_features:
+        cut = singles[max_features - 1][1]
+        if len(singles) < fetched or singles[-1][1] < cut:
+            allowed = frozenset(t for t, n, _ in singles if n >= cut)
+    pairs = _most_frequent(_counts(_pairs(words, allowed), "pairs").where(common), max_features)
+    terms = sorted(singles + pairs, key=lambda t: (-t[1], t[0]))[:max_features]
+    return Vocabulary(tuple(terms), frozenset(w for t, _, _ in terms for w in t.split(" ")))
+
+
+def kept_terms(texts: DataFrame, body: str = "body", **options) -> DataFrame:
+    """The vocabulary with its counts (term, occurrences, documents)."""
+    return texts.sparkSession.createDataFrame(list(fit_vocabulary(texts, body, **options).terms), TERM_SCHEMA)
 
 
 def top_terms(
@@ -82,15 +114,18 @@ def top_terms(
     vocabulary = fit_vocabulary(texts, body, stop_words=stop_words, **options)
     if not vocabulary.terms:
         return texts.sparkSession.createDataFrame([], TOPIC_SCHEMA)
-    grams = texts.select(with_bigrams(tokens(F.coalesce(body, F.lit("")), stop_words)).alias("grams"))
-    counts = CountVectorizerModel.from_vocabulary(list(vocabulary.terms), inputCol="grams", outputCol="tf")
-    weights = ElementwiseProduct(scalingVec=Vectors.dense(vocabulary.idf), inputCol="tf", outputCol="tfidf")
+    names = [t for t, _, _ in vocabulary.terms]
+    pairs = _pairs(_words(texts, body, stop_words), vocabulary.words)
+    grams = pairs.select(F.concat(F.array_compact("frequent"), "pairs").alias("grams"))
+    counts = CountVectorizerModel.from_vocabulary(names, inputCol="grams", outputCol="tf")
+    idf = Vectors.dense(vocabulary.idf(texts.count()))
+    weights = ElementwiseProduct(scalingVec=idf, inputCol="tf", outputCol="tfidf")
     unit = Normalizer(p=2.0, inputCol="tfidf", outputCol="unit")
     vectors = unit.transform(weights.transform(counts.transform(grams)))
     total = vectors.select(Summarizer.sum(F.col("unit")).alias("total"))
     scored = F.zip_with(
         vector_to_array("total"),
-        F.lit(list(vocabulary.terms)),
+        F.split(F.lit("\n".join(names)), "\n"),
         lambda s, t: F.struct((-F.round(s, 6)).alias("order"), t.alias("topic"), s.alias("score")),
     )
     best = F.slice(F.array_sort(scored), 1, n)

@@ -37,16 +37,10 @@ def _needle(topic: str) -> Column:
     return F.lower(F.lit(topic))
 
 
-def _count_columns(topics: Sequence[str], when: Column | None = None, prefix: str = "") -> list[Column]:
-    """Two aggregates per topic: matched bytes, and texts with a match."""
-    columns = []
-    for i, topic in enumerate(topics):
-        found = matched_bytes(F.col("body"), _needle(topic))
-        if when is not None:
-            found = F.when(when, found)
-        columns.append(F.sum(found).alias(f"{prefix}bytes_{i}"))
-        columns.append(F.count_if(found > 0).alias(f"{prefix}papers_{i}"))
-    return columns
+def _with_matches(texts: DataFrame, topics: Sequence[str], *columns: str | Column) -> DataFrame:
+    """The given columns and the matched bytes of each topic (match_0, match_1, ...), each text searched once."""
+    found = [matched_bytes(F.col("body"), _needle(t)).alias(f"match_{i}") for i, t in enumerate(topics)]
+    return texts.select(*columns, *found)
 
 
 def _mentions(found_bytes: Column, topic: Column) -> Column:
@@ -55,7 +49,10 @@ def _mentions(found_bytes: Column, topic: Column) -> Column:
 
 def _wide_counts(texts: DataFrame, topics: Sequence[str]) -> DataFrame:
     """One pass, one row per year: no text is copied and only a few numbers are shuffled."""
-    per_year = texts.groupBy("year").agg(F.count("*").alias("papers"), *_count_columns(topics))
+    matches = _with_matches(texts, topics, "year")
+    sums = [F.sum(f"match_{i}").alias(f"bytes_{i}") for i in range(len(topics))]
+    papers = [F.count_if(F.col(f"match_{i}") > 0).alias(f"papers_{i}") for i in range(len(topics))]
+    per_year = matches.groupBy("year").agg(F.count("*").alias("papers"), *sums, *papers)
     rows = [
         F.struct(
             F.lit(i + 1).alias("rank"),
@@ -125,11 +122,11 @@ def period_frequencies(
     """
     weight_recent, weight_comparison = _weight(recent_years), _weight(comparison_years)
     texts = paper_texts(papers.where(F.col("year").isin(sorted({*recent_years, *comparison_years}))))
-    aggregates = [F.sum(weight_recent).alias("recent_total"), F.sum(weight_comparison).alias("comparison_total")]
-    for i, topic in enumerate(recent_topics):
-        found = matched_bytes(F.col("body"), _needle(topic))
-        aggregates.append(F.sum(found * weight_recent).alias(f"recent_{i}"))
-        aggregates.append(F.sum(found * weight_comparison).alias(f"comparison_{i}"))
+    matches = _with_matches(texts, recent_topics, weight_recent.alias("w_recent"), weight_comparison.alias("w_comparison"))
+    aggregates = [F.sum("w_recent").alias("recent_total"), F.sum("w_comparison").alias("comparison_total")]
+    for i in range(len(recent_topics)):
+        for period in ("recent", "comparison"):
+            aggregates.append(F.sum(F.col(f"match_{i}") * F.col(f"w_{period}")).alias(f"{period}_{i}"))
     known = set(comparison_topics)
     rows = []
     for i, topic in enumerate(recent_topics):
@@ -145,7 +142,7 @@ def period_frequencies(
         )
     rate = lambda mentions, total: F.coalesce(F.try_divide(F.col(mentions), F.col(total)), F.lit(0.0))
     return (
-        texts.agg(*aggregates)
+        matches.agg(*aggregates)
         .select("recent_total", "comparison_total", F.inline(F.array(*rows)))
         .select(
             "rank",
