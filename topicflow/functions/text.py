@@ -33,10 +33,15 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def normalise_nfkc(text: Column) -> Column:
-    """NFKC, which Spark lacks; only texts that it can change are sent to Python."""
+    """NFKC, which Spark lacks; only texts that it can change are sent to Python.
+
+    The function is declared non-deterministic so that Spark evaluates it exactly once:
+    otherwise a later filter on the text is copied below it and calls it a second time.
+    Filters that do not need the text belong before this call.
+    """
     # the lookbehind runs on non-ASCII characters only, which is far cheaper than one wide class
     affected = F.when(~is_ascii(text) & text.rlike(f"[^\\x00-\\x7F](?<![{NFKC_NEUTRAL}])"), text)
-    return F.coalesce(F.pandas_udf(_nfkc, StringType())(affected), text)
+    return F.coalesce(F.pandas_udf(_nfkc, StringType()).asNondeterministic()(affected), text)
 
 
 def strip_to_ascii(text: Column) -> Column:

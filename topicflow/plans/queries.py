@@ -93,7 +93,7 @@ def papers_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def papers_of_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collection.papers_of_year(src.papers(spark, sf_dir), 2023).select(
+    return collection.papers_of_year(src.papers(spark, sf_dir, [2023]), 2023).select(
         "paper_id", "title", "abstract", "summary", "year", "venue"
     )
 
@@ -104,7 +104,7 @@ def papers_of_year_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def papers_of_repeated_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collection.papers_of_years(src.papers(spark, sf_dir), [2023, 2024, 2024]).select("paper_id", "year", "title")
+    return collection.papers_of_years(src.papers(spark, sf_dir, [2023, 2024]), [2023, 2024, 2024]).select("paper_id", "year", "title")
 
 
 def papers_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,14 +125,14 @@ def top_terms_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emerging_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = trends.emerging_topics(src.papers(spark, sf_dir), RECENT, BEFORE)
+    found = trends.emerging_topics(src.papers(spark, sf_dir, RECENT + BEFORE), RECENT, BEFORE)
     for c in ("recent_frequency", "comparison_frequency", "growth_rate"):
         found = found.withColumn(c, _six(c))
     return found
 
 
 def chart_emerging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.top_emerging(trends.emerging_topics(src.papers(spark, sf_dir), RECENT, BEFORE))
+    found = reports.top_emerging(trends.emerging_topics(src.papers(spark, sf_dir, RECENT + BEFORE), RECENT, BEFORE))
     return found.select("position", "topic", _six("growth_rate").alias("growth_rate"), "status")
 
 
@@ -149,15 +149,15 @@ def topic_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.topic_network(src.papers(spark, sf_dir), YEARS[1]).edges
+    return network.topic_network(src.papers(spark, sf_dir, [YEARS[1]]), YEARS[1]).edges
 
 
 def topic_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.topic_network(src.papers(spark, sf_dir), YEARS[1]).nodes
+    return network.topic_network(src.papers(spark, sf_dir, [YEARS[1]]), YEARS[1]).nodes
 
 
 def chart_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = network.topic_network(src.papers(spark, sf_dir), YEARS[1]).nodes
+    nodes = network.topic_network(src.papers(spark, sf_dir, [YEARS[1]]), YEARS[1]).nodes
     return network.most_central(nodes).select("topic", "centrality")
 
 

@@ -6,6 +6,8 @@ because the tables carry no such columns.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from topicflow.functions.text import normalise_nfkc, strip_to_ascii
@@ -29,13 +31,16 @@ def _venue() -> Column:
     )
 
 
-def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Documents with their quality label.
+def _documents(spark: SparkSession, sf_dir: str, *columns: str, years: Sequence[int] | None = None) -> DataFrame:
+    """Documents, of some years or all, with their quality label.
 
     Which join serves is left to Spark: labels are broadcast while their measured size
     is under the session's threshold and shuffled by doc_id beyond it.
     """
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
+    documents = table(spark, sf_dir, "documents").select("doc_id", *columns)
+    if years is not None:
+        documents = documents.where(year_of(F.col("doc_id")).isin(sorted(set(years))))
+    documents = spread(documents, "doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return documents.join(labels, "doc_id", "left")
 
@@ -51,9 +56,10 @@ def paper_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def papers(spark: SparkSession, sf_dir: str, years: Sequence[int] | None = None) -> DataFrame:
+    """Papers of all years, or of some: the collection itself is laid out by year, these tables are not."""
     text = normalise_nfkc(F.col("text"))
-    documents = _documents(spark, sf_dir, "text", "lang", "source").withColumn("text", text)
+    documents = _documents(spark, sf_dir, "text", "lang", "source", years=years).withColumn("text", text)
     year = year_of(F.col("doc_id"))
     return documents.select(
         F.col("doc_id").cast("string").alias("paper_id"),
