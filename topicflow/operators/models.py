@@ -57,7 +57,7 @@ def apply_model(
                 results = [call_with_retry(call, text, attempts, pause) for text in inputs]
             yield pd.DataFrame(
                 {
-                    id_col: batch[id_col],
+                    id_col: batch[id_col].tolist(),
                     output: [r for r, _, _ in results],
                     "error": [e for _, e, _ in results],
                     "attempts": [a for _, _, a in results],

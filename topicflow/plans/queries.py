@@ -19,6 +19,7 @@ from topicflow.operators.answers import (
 from topicflow.operators.embedding import embed, embeddable
 from topicflow.operators.questions import parse_questions
 from topicflow.operators.retrieval import (
+    fit_cells,
     grouped_matches,
     nearest_papers,
     nearest_papers_approximate,
@@ -201,9 +202,10 @@ def knn_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = with_cells(src.paper_vectors(spark, sf_dir), VECTOR_SIZE)
-    matches = nearest_papers_approximate(vectors, _mean_vectors(vectors, "label"), 5)
+def knn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = src.paper_vectors(spark, sf_dir)
+    centres = fit_cells(vectors, VECTOR_SIZE)
+    matches = nearest_papers_approximate(with_cells(vectors, centres), _mean_vectors(vectors, "label"), centres, 5)
     return matches.select("query_id", "rank", "paper_id", _six("distance").alias("distance"))
 
 
@@ -351,7 +353,7 @@ QUERIES = {
         venue_histogram, papers_load, papers_of_year, papers_of_year_limited, papers_of_repeated_years, papers_per_year,
         total_papers, term_statistics, top_terms_tfidf, emerging_topics, chart_emerging, chart_topic_trends,
         topic_document_frequency, topic_cooccurrence, topic_centrality, chart_centrality, knn_exact, knn_year_filtered,
-        knn_batch, knn_titles, knn_lsh, embed_hashing, parsed_questions, parsed_questions_reference, retrieved_by_question,
+        knn_batch, knn_titles, knn_approximate, embed_hashing, parsed_questions, parsed_questions_reference, retrieved_by_question,
         question_contexts, question_contexts_by_year, question_prompts, pending_summaries, applied_summaries,
         summary_coverage, summary_samples, stripped_reasoning, model_topic_lines, rendered_prompts, prompt_comparison,
         topics_prompt, extractive_summary, enrichment_counters, enrichment_incremental, run_statistics, trend_report,

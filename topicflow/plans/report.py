@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from topicflow.operators.network import TopicNetwork, most_central, topic_network
 from topicflow.operators.topics import TopicFinder, default_finder
@@ -153,7 +153,7 @@ def report_lines(report: TrendReport) -> DataFrame:
             F.lit(5).alias("section"),
             F.col("position").alias("line_no"),
             F.format_string(
-                "  %d. %s (%.1f%% growth) [%s]", "position", "topic", F.col("growth_rate") * 100, "status"
+                "  %d. %s (%.1f%% growth) [%s]", "position", "topic", _one_decimal(F.col("growth_rate") * 100), "status"
             ).alias("line"),
         ),
     ]
@@ -163,6 +163,11 @@ def report_lines(report: TrendReport) -> DataFrame:
     return result.orderBy("section", "line_no")
 
 
+def _one_decimal(value: Column) -> Column:
+    """Ties go to the even digit; the format itself would round them up."""
+    return F.bround(value, 1)
+
+
 def _heading(report: TrendReport, section: int, text: str) -> DataFrame:
     spark: SparkSession = report.key_topics.sparkSession
     return spark.createDataFrame([(section, 0, ""), (section, 1, text)], "section INT, line_no INT, line STRING")
