@@ -38,13 +38,17 @@ def apply_model(
     output_type: str = "string",
     attempts: int = 3,
     pause: float = 0.0,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per input row: id, output, error, attempts.
+    """One row per input row: id, kept columns, output, error, attempts.
 
     A batch is tried as a whole first. If that fails, its rows are tried one by one,
     and a row that keeps failing yields a null output with the error next to it.
     """
 
+    ids = [id_col, *keep]
+    columns = [*ids, output, "error", "attempts"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = factory()
         for batch in batches:
@@ -57,17 +61,17 @@ def apply_model(
                 results = [call_with_retry(call, text, attempts, pause) for text in inputs]
             yield pd.DataFrame(
                 {
-                    id_col: batch[id_col].tolist(),
+                    **{c: batch[c].tolist() for c in ids},
                     output: [r for r, _, _ in results],
                     "error": [e for _, e, _ in results],
                     "attempts": [a for _, _, a in results],
                 },
-                columns=[id_col, output, "error", "attempts"],
+                columns=columns,
             )
 
-    id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, `{output}` {output_type}, error STRING, attempts INT"
-    return df.select(id_col, input_col).mapInPandas(run, schema)
+    types = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in ids]
+    schema = ", ".join([*types, f"`{output}` {output_type}", "error STRING", "attempts INT"])
+    return df.select(*ids, input_col).mapInPandas(run, schema)
 
 
 def complete(df: DataFrame, factory: ModelFactory, id_col: str, prompt_col: str = "prompt", **options) -> DataFrame:

@@ -229,7 +229,7 @@ def parsed_questions_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _question_matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Questions, papers, and the papers nearest to each question."""
     papers, asked = src.papers(spark, sf_dir), src.questions(spark, sf_dir)
-    vectors = embed(embeddable(papers)).join(src.paper_keys(spark, sf_dir).select("paper_id", "year"), "paper_id")
+    vectors = embed(embeddable(papers), keep=("year",))
     return asked, papers, retrieve_by_question(asked, vectors)
 
 
