@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,8 +37,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that every executor can reach")
         root = tempfile.mkdtemp(prefix="topicflow-")
         spark.conf.set(CHECKPOINT_SETTING, root)
-    unique = os.path.basename(tempfile.mktemp(prefix=f"{name}-"))
-    return f"{root.rstrip('/')}/{unique}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
