@@ -287,7 +287,7 @@ FACTS = "\nUNION ALL\n".join(
         _fact("cooccurrence", "topic1", "topic2", "cooccurrence", "edges"),
     ]
 )
-HEAD = ["TOPIC EVOLUTION ANALYSIS SUMMARY", "=" * 40, "Year Range: (2020, 2024)", None, "", "PAPERS PER YEAR:"]
+HEAD = ["TOPIC TREND SUMMARY", "=" * 40, "Year Range: (2020, 2024)", None, "", "PAPERS PER YEAR:"]
 HEAD_LINES = "\nUNION ALL ".join(
     f"SELECT 0 AS section, {i} AS line_no, "
     + ("'Total Papers: ' || (SELECT count(*) FROM papers)" if t is None else _quote(t))

@@ -130,7 +130,7 @@ def report_lines(report: TrendReport) -> DataFrame:
         report.total_papers.select(
             F.lit(0).alias("section"), F.posexplode(
                 F.array(
-                    F.lit("TOPIC EVOLUTION ANALYSIS SUMMARY"),
+                    F.lit("TOPIC TREND SUMMARY"),
                     F.lit("=" * 40),
                     F.lit(years),
                     F.concat(F.lit("Total Papers: "), F.col("total_papers").cast("string")),
