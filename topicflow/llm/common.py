@@ -109,23 +109,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def window_hashes(words: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
-    """A fingerprint of every ``width`` consecutive values, by binary doubling."""
-    n = len(words) - width + 1
+def window_hashes(codes: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
+    """A fingerprint of every ``width`` consecutive codes: polynomials in ``base``, by doubling."""
+    n = len(codes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total, done, block, size, step = None, 0, mix(words + base), 1, int(base)
+    total, done, block, size, step = None, 0, codes, 1, int(base)
     left = width
     while left:
         if left & 1:
             part = block[done : done + n]
-            total = part.copy() if total is None else total * np.uint64(step) + part
+            total = part if total is None else total * np.uint64(step) + part
             done += size
         left >>= 1
         if left:
             block = block[: len(block) - size] * np.uint64(step) + block[size:]
-            size, step = size * 2, step * step % (1 << 64) | 1
-            block = mix(block)
+            size, step = size * 2, step * step % (1 << 64)
     return mix(total)
 
 

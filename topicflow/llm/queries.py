@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from topicflow.llm import language, quality, token_counts, url_rules, warc
+from topicflow.llm import language, quality, repeats, suffixes, token_counts, url_rules, warc
 from topicflow.llm.common import table
 from topicflow.session import shared_dir
 
@@ -43,6 +43,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = repeats.remove_repeats(docs)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.quality_ledger(table(spark, sf_dir, "documents"))
     base_failed = ~quality.passes("base")
@@ -52,6 +58,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffixes.remove_later_copies(docs)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     archives = warc.write_warc(warc.with_revisits(pages), shared_dir(spark, "warc"))
@@ -62,6 +74,8 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_url_filter": op3_url_filter,
     "op4_language": op4_language,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_quality": op6_quality,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op10_warc": op10_warc,
 }
