@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from topicflow.llm import language, quality, repeats, suffixes, token_counts, url_rules, warc
+from topicflow.llm import jaccard, language, quality, repeats, suffixes, token_counts, url_rules, warc
 from topicflow.llm.common import table
 from topicflow.session import shared_dir
 
@@ -64,6 +64,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), shared_dir(spark, "jaccard"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     archives = warc.write_warc(warc.with_revisits(pages), shared_dir(spark, "warc"))
@@ -77,5 +81,6 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality": op6_quality,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_warc": op10_warc,
 }
