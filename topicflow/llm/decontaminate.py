@@ -194,64 +194,86 @@ def walks_needed(items: np.ndarray, e: int, walks: np.ndarray, places: np.ndarra
     return len(walks)
 
 
+def _leaks(part: pa.RecordBatch, index: ItemIndex) -> list[tuple]:
+    """(row, item, start, end, distance) of the items that a part's texts hold."""
+    words, text_of = words_in([folded(t) for t in part.column("text").to_pylist()])
+    if not len(words) or not index.items:
+        return []
+    bounds = np.searchsorted(text_of, np.arange(part.num_rows + 1))
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    checked: set[tuple[int, int, int]] = set()
+    for start, at in index.pairs(words, text_of):
+        item, e = index.items[at][1], index.allowed[at]
+        text = int(text_of[min(max(start + len(item) // 2, 0), len(words) - 1)])
+        # windows that begin within e words of each other are checked together, over a stretch that holds them all
+        group = start // (e + 1)
+        if (text, at, group) in checked:
+            continue
+        checked.add((text, at, group))
+        low, high = max(bounds[text], start - 2 * e), min(bounds[text + 1], start + len(item) + 2 * e)
+        if low < high:
+            distance, s, t = edits_within(item, words[low:high])
+            if distance <= e:
+                own = (distance, int(low + s - bounds[text]), int(low + t - bounds[text]))
+                best[text, at] = min(best.get((text, at), own), own)
+    return [(row, at, s, t, d) for (row, at), (d, s, t) in sorted(best.items())]
+
+
+def _indexes(benchmark: DataFrame, edits: float, recall: float) -> list[ItemIndex]:
+    """Indexes of bounded size that hold all items; each means one pass over the documents."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
+    chunks = max(1, -(-bytes_total(items, "text") // ITEM_BYTES))
+    chunk_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks))
+    out = []
+    for c in range(chunks):
+        rows = {(r["item_id"], r["text"]) for r in items.where(chunk_of == c).collect()}
+        out.append(ItemIndex(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])), edits, recall))
+    return out
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL) -> DataFrame:
     """One row per document and item that it holds with at most ``edits`` of the item's words edited.
 
     ``distance`` is the least word edit distance of the item to any part of the document near a
     meeting, ``start_word`` and ``end_word`` that part. Case and punctuation do not count. Null and
     wordless texts match nothing, items under ``LEAST_WORDS`` words are not looked for, repeated rows match each
-    for itself, and repeated items too. Documents are read once per ``ITEM_BYTES`` of items (the chunk that is
-    sent to the tasks is bounded) and nothing is shuffled. Texts are read whole.
+    for itself, equal rows of the benchmark count once. Documents are read once per ``ITEM_BYTES`` of items (an
+    index that is sent to the tasks is bounded so) and nothing is shuffled. Texts are read whole.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    chunks = max(1, -(-bytes_total(items, "text") // ITEM_BYTES))
+    names = [x.split()[0] for x in MATCHES.split(", ")]
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunk_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks))
-    found = [_search(slim, items.where(chunk_of == c), edits, recall) for c in range(chunks)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
 
+    def pass_over(index: ItemIndex) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows: list[tuple] = []
+                for part in slices(batch, "text", 1 << 20):
+                    ids = part.column("doc_id").to_pylist()
+                    rows += [(ids[x], index.items[at][0], s, t, d, len(index.items[at][1])) for x, at, s, t, d in _leaks(part, index)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
 
-def _search(docs: DataFrame, chunk: DataFrame, edits: float, recall: float) -> DataFrame:
-    listed = sorted({(r["item_id"], r["text"]) for r in chunk.collect()}, key=lambda r: (r[0] is None, r))
-    names = [x.split()[0] for x in MATCHES.split(", ")]
-    index = ItemIndex(listed, edits, recall)  # its size is bounded by that of the chunk
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for part in slices(batch, "text", 1 << 20) if index.items else ():
-                ids = part.column("doc_id").to_pylist()
-                words, text_of = words_in([folded(t) for t in part.column("text").to_pylist()])
-                if not len(words):
-                    continue
-                bounds = np.searchsorted(text_of, np.arange(len(ids) + 1))
-                best: dict[tuple[int, int], tuple] = {}
-                checked: dict[tuple[int, int, int], None] = {}
-                for start, at in index.pairs(words, text_of):
-                    item, e = index.items[at][1], index.allowed[at]
-                    text = int(text_of[min(max(start + len(item) // 2, 0), len(words) - 1)])
-                    low, high = max(bounds[text], start - e), min(bounds[text + 1], start + len(item) + e)
-                    if (text, at, start // (e + 1)) in checked or high <= low:
-                        continue
-                    checked[(text, at, start // (e + 1))] = None
-                    low, high = max(bounds[text], low - e), min(bounds[text + 1], high + e)
-                    distance, s, t = edits_within(item, words[low:high])
-                    if distance <= e:
-                        own = (distance, int(low + s - bounds[text]), int(low + t - bounds[text]))
-                        best[text, at] = min(best.get((text, at), own), own)
-                rows += [(ids[x], index.items[at][0], s, t, d, len(index.items[at][1])) for (x, at), (d, s, t) in sorted(best.items())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
-
-    return docs.mapInArrow(search, MATCHES)
+        return slim.mapInArrow(search, MATCHES)
+
+    passes = [pass_over(index) for index in _indexes(benchmark, edits, recall)]
+    out = passes[0]
+    for more in passes[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL) -> DataFrame:
-    """The documents that hold no item; a text that leaks takes all rows of its id with it."""
-    leaks = find_leaks(docs, benchmark, edits, recall).select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
+    """The rows of ``docs``, with all columns, whose text holds no item; see ``find_leaks``."""
+    schema = docs.schema
+    for index in _indexes(benchmark, edits, recall):
+
+        def clean(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text", 1 << 20):
+                    hit = {row for row, *_ in _leaks(part, index)}
+                    yield part.filter(pa.array([i not in hit for i in range(part.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, schema)
+    return docs
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str]], edits: float = EDITS) -> dict[tuple[int, int], int]:

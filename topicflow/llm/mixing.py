@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 BUCKETS, LEAST_Z, LEAST_ROWS = 1 << 18, 4.0, 5
 #: Labelled rows the classifier is fitted on, about: those with the smallest hashes.
 FIT_ROWS = 60_000
-ROUNDS, TOLERANCE = 60, 1e-6
+ROUNDS, TOLERANCE, RIDGE = 40, 1e-6, 0.02
+#: Share of a posterior's largest possible variance under which a domain is not told apart.
+LEAST_VARIANCE = 0.05
 _PUNCTUATION = ".,;:!?()\"'\t\n\x0b\x0c\r"
 
 
@@ -33,9 +35,9 @@ def _buckets(words: Column) -> Column:
 
 
 def fit_domains(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row per domain: its log prior and a weight per bucket, from ``text, domain``.
+    """``domain, prior, bucket, weight`` from ``text, domain``; a domain without evidence has one row, without bucket.
 
-    A weight is the log of how much likelier a bucket is in the domain than in all, kept only
+    A weight is the log of how much likelier a bucket is in the domain than outside, kept only
     where the counts bear it. Fitted on about ``fit_rows`` rows chosen by a hash of the text; rows
     without a domain are skipped. Without rows there is no domain.
     """
@@ -45,71 +47,56 @@ def fit_domains(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     rows = labelled.where(F.coalesce(uniform, F.lit(0.0)) < min(1.0, fit_rows / max(n, 1)))
     features = rows.select("domain", _buckets(words_of("text")).alias("buckets"))
     sizes = features.groupBy("domain").agg(F.count("*").alias("size"))
-    whole = sizes.agg(F.sum("size").alias("whole"))
+    whole = sizes.agg(F.sum("size").alias("whole")).withColumn("one", F.lit(1))
+    domains = sizes.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")
     counts = features.select("domain", F.explode("buckets").alias("bucket")).groupBy("bucket", "domain").agg(F.count("*").alias("k"))
-    per_bucket = counts.groupBy("bucket").agg(
-        F.sum("k").alias("all_k"), F.map_from_entries(F.collect_list(F.struct("domain", "k"))).alias("by_domain")
-    ).where(F.col("all_k") >= LEAST_ROWS)
-    one = whole.withColumn("one", F.lit(1))
-    domains = sizes.withColumn("one", F.lit(1)).join(F.broadcast(one), "one")  # a row per domain: two to a few hundred
+    per_bucket = (
+        counts.groupBy("bucket")
+        .agg(F.sum("k").alias("all_k"), F.map_from_entries(F.collect_list(F.struct("domain", "k"))).alias("by_domain"))
+        .where(F.col("all_k") >= LEAST_ROWS)
+    )
+    # a bucket meets every domain, of which there are as many as the target weights name
     pairs = per_bucket.withColumn("one", F.lit(1)).join(F.broadcast(domains), "one")
     k = F.coalesce(F.try_element_at("by_domain", F.col("domain")), F.lit(0))
     inside = (k + 0.5) / (F.col("size") + 1.0)
     outside = (F.col("all_k") - k + 0.5) / (F.col("whole") - F.col("size") + 1.0)
-    weight = F.log(inside / outside)
     error = F.sqrt(1.0 / (k + 0.5) + 1.0 / (F.col("all_k") - k + 0.5))
-    strong = pairs.withColumn("weight", weight).where(F.abs(F.col("weight")) >= LEAST_Z * error)
-    per_domain = strong.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("by_bucket"))
-    return domains.join(per_domain, "domain", "left").select(
-        "domain", F.log(F.col("size") / F.col("whole")).alias("prior"), "by_bucket"
-    )
-
-
-def _dense(model: DataFrame) -> DataFrame:
-    """The model as one row of arrays, in the order of the domains' names; bounded by buckets and domains."""
-    spots = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.lit(0.0))
-    held = model.select(
-        "domain",
-        "prior",
-        F.array_sort(F.coalesce(F.map_entries("by_bucket"), F.array().cast("array<struct<key:int,value:double>>"))).alias("entries"),
-    )
-    filled = held.select(
-        "domain", "prior", F.when(F.size("entries") == 0, spots).otherwise(_spread(F.col("entries"))).alias("weights")
-    )
-    rows = F.array_sort(F.collect_list(F.struct("domain", "prior", "weights")))
-    return filled.agg(rows.alias("model")).select(F.lit(1).alias("one"), F.col("model.prior").alias("priors"), F.col("model.weights").alias("weights"))
-
+    strong = pairs.select("domain", "bucket", F.log(inside / outside).alias("weight"), error.alias("error"))
+    strong = strong.where(F.abs("weight") >= LEAST_Z * F.col("error")).drop("error")
+    prior = F.log(F.col("size") / F.col("whole"))
+    return domains.select("domain", prior.alias("prior")).join(strong, "domain", "left")
 
-def _spread(entries: Column) -> Column:
-    """Sorted (bucket, weight) entries as an array with a place for every bucket."""
-    keys = F.transform(entries, lambda e: e["key"])
-    gaps = F.zip_with(
-        F.concat(keys, F.array(F.lit(BUCKETS))),
-        F.concat(F.array(F.lit(-1)), keys),
-        lambda now, before: F.array_repeat(F.lit(0.0), now - before - 1),
-    )
-    values = F.concat(F.transform(entries, lambda e: F.array(e["value"])), F.array(F.array().cast("array<double>")))
-    return F.flatten(F.zip_with(gaps, values, lambda gap, value: F.concat(gap, value)))
 
+def posteriors(docs: DataFrame, model: DataFrame, priors: Mapping[str, float]) -> DataFrame:
+    """One row per distinct ``doc_id`` and text: ``text_key, copies, n_tokens`` and posteriors ``p0, p1, …``.
 
-def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], passed: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``n_tokens`` and a posterior ``p0, p1, …`` per domain beside the columns named in ``passed``.
-
-    Tokens are words. A text without a word gets the priors. Only one row, the model, is broadcast.
+    Tokens are words. A text without a word gets the priors. Words meet the model in a broadcast
+    join (a row per bucket at most, so its size is bounded), and what passes is summed within
+    the task, so the shuffle holds one small row per document.
     """
-    n = len(domains)
-    words = docs.select(*passed, words_of("text").alias("words")).select(
-        *passed, F.size("words").cast("long").alias("n_tokens"), _buckets(F.col("words")).alias("buckets"), F.lit(1).alias("one")
+    domains = sorted(priors)
+    by_bucket = model.where("bucket IS NOT NULL").groupBy("bucket").agg(
+        *(F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i, d in enumerate(domains))
     )
-    joined = words.join(F.broadcast(_dense(model)), "one")
-    score = lambda i: F.aggregate("buckets", F.lit(0.0), lambda total, b: total + F.get(F.col("weights")[i], b))
-    scored = joined.select(*passed, "n_tokens", F.array(*(F.col("priors")[i] + score(i) for i in range(n))).alias("scores"))
-    top = scored.withColumn("top", F.array_max("scores"))
-    risen = top.withColumn("risen", F.transform("scores", lambda s: F.exp(s - F.col("top"))))
-    total = F.aggregate("risen", F.lit(0.0), lambda a, x: a + x)
-    return risen.withColumn("total", total).select(
-        *passed, "n_tokens", *((F.col("risen")[i] / F.col("total")).alias(f"p{i}") for i in range(n))
+    # one more bucket stands for the row itself, so that every document passes and copies can be told
+    marker = docs.sparkSession.range(1).select(F.lit(BUCKETS).alias("bucket"), *(F.lit(0.0).alias(f"w{i}") for i in range(len(domains))))
+    words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of("text").alias("words"))
+    exploded = words.select(
+        "doc_id", "text_key", F.size("words").cast("long").alias("n_tokens"),
+        F.explode(F.array_append(_buckets(F.col("words")), F.lit(BUCKETS))).alias("bucket"),
+    )
+    met = exploded.join(F.broadcast(by_bucket.unionByName(marker)), "bucket")
+    copies = F.count_if(F.col("bucket") == BUCKETS).alias("copies")
+    sums = met.groupBy("doc_id", "text_key").agg(
+        copies, F.max("n_tokens").alias("n_tokens"), *(F.sum(f"w{i}").alias(f"w{i}") for i in range(len(domains)))
     )
+    scores = [F.lit(priors[d]) + F.col(f"w{i}") / F.col("copies") for i, d in enumerate(domains)]
+    scored = sums.select("doc_id", "text_key", "copies", "n_tokens", *(s.alias(f"s{i}") for i, s in enumerate(scores)))
+    names = [f"s{i}" for i in range(len(domains))]
+    top = F.greatest(*names) if len(names) > 1 else F.col("s0")
+    risen = scored.select("doc_id", "text_key", "copies", "n_tokens", *(F.exp(F.col(n) - top).alias(n) for n in names))
+    total = sum((F.col(n) for n in names[1:]), F.col("s0"))
+    return risen.select("doc_id", "text_key", "copies", "n_tokens", *((F.col(n) / total).alias(f"p{i}") for i, n in enumerate(names)))
 
 
 def rate_of(steps: list[list[float]], n: int) -> Column:
@@ -122,33 +109,41 @@ def rate_of(steps: list[list[float]], n: int) -> Column:
 
 
 def fit_rates(members: DataFrame, weights: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """The rounds' steps for ``n_tokens, p0, p1, …`` and target weights; their number stops at the tolerance.
+    """The rounds' steps for ``copies, n_tokens, p0, p1, …`` and target weights; they end at the tolerance.
 
-    Targets are shares of the corpus's tokens. In the metric of the documents' own moments a step solves
-    the problem without bounds; rounds follow where rates have met 0. Weights that cannot be
-    met (a domain without tokens) are met as nearly as least squares can.
+    Targets are shares of the corpus's tokens. In the metric of the documents' own moments (with a ridge, as
+    domains may be hard to tell apart) a step all but solves the problem without bounds; rounds follow where rates
+    have met 0. Weights that cannot be met (a domain without tokens) are met as nearly as least squares can.
+    A domain whose posterior hardly varies, because the labels gave no evidence for it, keeps its natural share: rates could
+    only reach its target by way of chance.
     """
     n = len(weights)
     share = np.array(weights, float)
     if n == 0 or share.sum() <= 0 or (share < 0).any():
         raise ValueError("target weights must not be negative, and some must be positive")
-    moment = [F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(n) for j in range(n)]
-    row = members.agg(F.sum("n_tokens").alias("tokens"), *(m.alias(f"m{i}") for i, m in enumerate(moment))).first()
+    amount = F.col("n_tokens") * F.col("copies")
+    moment = [F.sum(amount * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(n) for j in range(n)]
+    row = members.agg(F.sum(amount).alias("tokens"), *(m.alias(f"m{i}") for i, m in enumerate(moment))).first()
     tokens = float(row["tokens"] or 0)
     if tokens == 0:
         return []
-    targets = share / share.sum()
     moments = np.array([row[f"m{i}"] for i in range(n * n)], float).reshape(n, n) / tokens
-    metric = np.linalg.pinv(moments, rcond=1e-9)
+    natural = moments.sum(axis=1)
+    told = (moments.diagonal() - natural**2) >= LEAST_VARIANCE * natural * (1 - natural)
+    if not told.any() or share[told].sum() == 0:
+        return []
+    targets = np.where(told, share / share[told].sum() * (1 - natural[~told].sum()), natural)
+    metric = np.linalg.inv(moments + np.diag(RIDGE * moments.diagonal() + 1e-6))
     steps: list[list[float]] = []
+    before = np.full(n, np.inf)
     for _ in range(rounds):
         rate = rate_of(steps, n)
-        sums = members.agg(*(F.sum(F.col("n_tokens") * F.col(f"p{i}") * rate).alias(f"s{i}") for i in range(n))).first()
+        sums = members.agg(*(F.sum(amount * F.col(f"p{i}") * rate).alias(f"s{i}") for i in range(n))).first()
         off = np.array([sums[f"s{i}"] for i in range(n)], float) / tokens - targets
-        step = metric @ off
-        if np.abs(off).max() < tolerance or np.abs(step).max() < tolerance / 10:
+        if np.abs(off).max() < tolerance or np.abs(off - before).max() < tolerance:
             break
-        steps.append(step.tolist())
+        before = off
+        steps.append((metric @ off).tolist())
     return steps
 
 
@@ -165,12 +160,16 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, flo
     spark = docs.sparkSession
     fit_domains(labelled).write.parquet(f"{folder}/model")
     model = spark.read.parquet(f"{folder}/model")
-    domains = sorted(r["domain"] for r in model.select("domain").collect())
+    priors = {r["domain"]: r["prior"] for r in model.select("domain", "prior").distinct().collect()}
+    domains = sorted(priors)
     if not domains:
         return docs.withColumns({"n_tokens": F.size(words_of("text")).cast("long"), "mix_rate": F.lit(1.0)})
-    posteriors(docs, model, domains, tuple(docs.columns)).write.parquet(f"{folder}/members")
+    posteriors(docs, model, priors).write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")
-    weights = [float(targets.get(d, 0.0)) for d in domains]
-    steps = fit_rates(members.select("n_tokens", *(f"p{i}" for i in range(len(domains)))), weights)
-    named = members.withColumn("mix_rate", rate_of(steps, len(domains)))
-    return named.select(*docs.columns, "n_tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)), "mix_rate")
+    steps = fit_rates(members.drop("doc_id", "text_key"), [float(targets.get(d, 0.0)) for d in domains])
+    rated = members.select(
+        F.col("doc_id").alias("own_id"), "text_key", "n_tokens",
+        *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)), rate_of(steps, len(domains)).alias("mix_rate"),
+    )
+    same = docs["doc_id"].eqNullSafe(rated["own_id"]) & (F.xxhash64(docs["text"]) == rated["text_key"])
+    return docs.join(rated, same).drop("own_id", "text_key")

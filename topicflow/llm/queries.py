@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from topicflow.llm import jaccard, language, quality, repeats, suffixes, token_counts, url_rules, warc
+from topicflow.llm import decontaminate, jaccard, language, mixing, quality, repeats, suffixes, token_counts, url_rules, warc
 from topicflow.llm.common import table
 from topicflow.session import shared_dir
 
@@ -27,6 +27,23 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def domains_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents: toxic, junk (low quality) or good."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "good")
+    labels = table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id").select("text", "domain")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixing_rates(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        domains_of(spark, sf_dir),
+        {"good": 0.95, "junk": 0.05, "toxic": 0.0},
+        shared_dir(spark, "mixing"),
+    )
+    return mixed.drop("text")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host STRING, path STRING, verdict STRING")
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -68,6 +85,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), shared_dir(spark, "jaccard"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     archives = warc.write_warc(warc.with_revisits(pages), shared_dir(spark, "warc"))
@@ -76,11 +97,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_mixing": op2_mixing,
     "op3_url_filter": op3_url_filter,
     "op4_language": op4_language,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality": op6_quality,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
 }
