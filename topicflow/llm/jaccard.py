@@ -23,7 +23,7 @@ from topicflow.llm.components import connected_components
 GRAM, PERCENT = 5, 80
 BITMAP_WORDS, FANOUT = 8, 8
 #: Blocks that must hold an n-gram before it is moved to the end of the order of n-grams.
-HOT_BLOCKS = 16
+HOT_BLOCKS = 512
 #: Prefixes are looked up by so much more than their own length, to have rare n-grams in reserve.
 RESERVE = 1.5
 #: Node pairs that are held at once.
@@ -62,6 +62,20 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def reserve_length(n: int, percent: int = PERCENT) -> int:
+    return min(n, int(prefix_length(n, percent) * RESERVE) + 1)
+
+
+def least_common(n: int, percent: int = PERCENT) -> int:
+    """N-grams of its reserve that a set of this size has in common with the reserve of any similar one.
+
+    A prefix longer by ``k`` than it must be has ``k + 1`` n-grams in common with the other's; the
+    smallest similar set has the shortest reserve.
+    """
+    smallest = -(-percent * n // 100)
+    return reserve_length(smallest, percent) - prefix_length(smallest, percent) + 1
+
+
 def least_overlap(sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Common n-grams that two sets need, given the sum of their sizes."""
     return -(-percent * sizes // (100 + percent))
@@ -192,7 +206,7 @@ def _postings(layout: blocks.Layout, chosen: DataFrame, gram: int, percent: int,
         return sorted(held.items())
 
     def reserve(grams: np.ndarray) -> np.ndarray:
-        return grams[: int(prefix_length(len(grams), percent) * RESERVE) + 1]
+        return grams[: reserve_length(len(grams), percent)]
 
     def ids_of(answers: pa.Table) -> set[int]:
         return {i for p, i in zip(answers["phase"].to_pylist(), answers["id"].to_pylist()) if p == 0}
@@ -211,6 +225,8 @@ def _postings(layout: blocks.Layout, chosen: DataFrame, gram: int, percent: int,
         for doc_id, grams in sets:
             first = reserve(grams)
             at = np.searchsorted(keys, first)
+            if shared[at].sum() < least_common(len(grams), percent):
+                continue
             rare = np.flatnonzero(~hot[at])
             need = prefix_length(len(grams), percent)
             # without enough rare n-grams in reserve the whole set is looked up, which holds any prefix
