@@ -26,10 +26,10 @@ _GRAM_BITS, _CHAR_BITS = 30, 10
 
 
 def _classes(text: str) -> np.ndarray:
-    """Characters as small numbers: letters folded to ten bits, everything else 0, gaps once."""
+    """Characters as small numbers: letters folded to ten bits, everything else 0."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(codes):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint16)
     ascii_letter = (codes >= 97) & (codes <= 122)
     other = (codes >= 0xC0) & (codes != 0xD7) & (codes != 0xF7)
     if other.any():
@@ -37,37 +37,37 @@ def _classes(text: str) -> np.ndarray:
         letters = rare[np.fromiter((chr(c).isalpha() for c in rare), bool, len(rare))]
         other = other & np.isin(codes, letters)
     folded = np.where(codes < 1023, codes + 1, 1 + (codes.astype(np.uint64) * 2654435761 >> 7) % 1023)
-    out = np.where(ascii_letter | other, folded, 0).astype(np.uint64)
-    keep = np.ones(len(out), bool)
-    keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
-    return out[keep]
+    return np.where(ascii_letter | other, folded, 0).astype(np.uint16)
 
 
-def _grams(classes: np.ndarray) -> np.ndarray:
-    """Packed n-grams with at least one letter."""
+def _grams(classes: np.ndarray, starts: int) -> np.ndarray:
+    """Packed n-grams that begin at the first ``starts`` characters, with a letter in front of the last place."""
     found = []
     for n in ORDERS:
-        if len(classes) >= n:
-            packed = np.zeros(len(classes) - n + 1, np.uint64)
+        count = min(starts, len(classes) - n + 1)
+        if count > 0:
+            packed = np.zeros(count, np.uint64)
             for i in range(n):
-                packed = (packed << np.uint64(_CHAR_BITS)) | classes[i : len(classes) - n + 1 + i]
-            # the order of the gram is told by its leading zeros; a gap in front keeps grams apart
+                packed = (packed << np.uint64(_CHAR_BITS)) | classes[i : count + i]
             found.append(packed[packed != 0] if n == 1 else packed[(packed >> np.uint64(_CHAR_BITS)) != 0])
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def count_grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a whole text and how often each occurs."""
-    text = text or ""
-    if len(text) <= PIECE:
-        return np.unique(_grams(_classes(f" {text} ")), return_counts=True)
-    keys, counts = [], []
-    for start in range(0, len(text), PIECE):
-        k, c = np.unique(_grams(_classes(f" {text[start : start + PIECE]} ")), return_counts=True)
-        keys.append(k)
-        counts.append(c)
-    merged, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return merged, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+    """Distinct n-grams of a whole text and how often each occurs; gaps between words count as one character."""
+    text = f" {text or ''} "
+    classes = np.concatenate([_classes(text[s : s + PIECE]) for s in range(0, len(text), PIECE)])
+    keep = np.ones(len(classes), bool)
+    keep[1:] = (classes[1:] != 0) | (classes[:-1] != 0)
+    classes = classes[keep]
+    counted = [
+        np.unique(_grams(classes[s : s + PIECE + max(ORDERS) - 1].astype(np.uint64), PIECE), return_counts=True)
+        for s in range(0, len(classes), PIECE)
+    ]
+    if len(counted) == 1:
+        return counted[0]
+    merged, at = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
+    return merged, np.bincount(at, np.concatenate([c for _, c in counted])).astype(np.int64)
 
 
 def ranking(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
