@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Features are words hashed to so many buckets; evidence is kept where it is this many deviations strong.
 BUCKETS, LEAST_Z, LEAST_ROWS = 1 << 18, 4.0, 5
 #: Labelled rows the classifier is fitted on, about: those with the smallest hashes.
-FIT_ROWS = 60_000
-ROUNDS, TOLERANCE, RIDGE = 40, 1e-6, 0.02
+FIT_ROWS = 20_000
+ROUNDS, TOLERANCE, RIDGE = 40, 1e-5, 0.02
 #: Share of a posterior's largest possible variance under which a domain is not told apart.
 LEAST_VARIANCE = 0.05
 _PUNCTUATION = ".,;:!?()\"'\t\n\x0b\x0c\r"
