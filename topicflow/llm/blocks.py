@@ -21,7 +21,7 @@ from topicflow.llm.common import bytes_total
 
 BLOCK_BYTES = 8 << 20
 #: Text bytes whose keys one task gathers.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 ANSWERS = "block INT, phase INT, part INT, bits BINARY"
 
 
