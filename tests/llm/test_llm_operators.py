@@ -352,6 +352,30 @@ def test_tree_finds_every_close_pair():
     assert not list(jaccard.SignatureTree(sizes, bits, linked).pairs())
 
 
+def test_sketches_drop_no_similar_pair():
+    rng = np.random.default_rng(7)
+    for n in (1, 3, 40, 700, 5000):
+        base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for loss in (0.0, 0.05, 0.1, 0.15, 0.5):
+            other = np.unique(np.concatenate([base[rng.random(len(base)) >= loss], rng.integers(0, 1 << 63, n // 20).astype(np.uint64)]))
+            if not len(other):
+                continue
+            common = len(np.intersect1d(base, other))
+            similar = 100 * common >= 80 * (len(base) + len(other) - common)
+            near = jaccard.may_be_similar(jaccard.sketch(base), len(base), jaccard.sketch(other), len(other))
+            assert near or not similar
+            assert n < 700 or loss < 0.5 or not near
+
+
+def test_many_windows_under_one_key(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "WINDOWS_AT_ONCE", 64)
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice("ab") for _ in range(40)) + "a common stretch of text" + "".join(rng.choice("ab") for _ in range(40))) for i in range(60)]
+    cut = suffixes.remove_later_copies(spark.createDataFrame(rows, "doc_id LONG, text STRING"), length=28, gram=10)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.s) for r in cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("s")).collect()}
+    assert got == suffixes.brute_force(rows, 28)
+
+
 def test_components(spark, tmp_path):
     edges = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (7, 7), (None, 3), (200, 201), (201, 200)]
     got = components.connected_components(spark.createDataFrame(edges, "a LONG, b LONG"), f"file://{tmp_path}/c").collect()

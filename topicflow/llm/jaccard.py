@@ -87,6 +87,26 @@ def bitmap(grams: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """A bitmap of eight bits for each n-gram, rounded up to a power of two: nearly as sharp as the set at an eighth of its size."""
+    width = 8 << max(3, int(len(grams) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[grams & np.uint64(width - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def may_be_similar(x: bytes, n_x: int, y: bytes, n_y: int, percent: int = PERCENT) -> bool:
+    """False only if the sketches leave too little room for the overlap; the wider one is folded to the other's width."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    common = int(np.bitwise_count(a & b).sum())
+    missing_a, missing_b = int(np.bitwise_count(a).sum()) - common, int(np.bitwise_count(b).sum()) - common
+    return min(n_x - missing_a, n_y - missing_b) >= least_overlap(np.int64(n_x + n_y), percent)
+
+
 def _count_bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=1).astype(np.int64)
 
@@ -235,6 +255,7 @@ def _postings(layout: blocks.Layout, chosen: DataFrame, gram: int, percent: int,
                 signature = bitmap(grams)
                 rows += [("token", t, doc_id, len(grams), signature) for t in tokens.view(np.int64).tolist()]
                 rows.append(("set", None, doc_id, len(grams), grams.tobytes()))
+                rows.append(("sketch", None, doc_id, len(grams), sketch(grams)))
         return _frame(rows, _POSTINGS_NAMES, _POSTINGS_KINDS)
 
     keys = blocks.ask(layout, wanted, look_up, blocks.KEYS)
@@ -291,23 +312,36 @@ def _candidates(postings: DataFrame, n_parts: int, percent: int, stars: bool) ->
     return counted.groupBy("a").agg(F.max_by("b", F.struct("met", -F.col("b"))).alias("b"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose sets (``doc_id, bits``) really are similar: ``100 * common >= percent * union``."""
+def _checked(pairs: DataFrame, sides: DataFrame, same) -> DataFrame:
+    """The pairs for which ``same(x, n_x, y, n_y)`` holds of what ``sides`` (doc_id, n, bits) has for either."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                common = int((large[at] == small).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            columns = [batch.column(c) for c in ("x", "n_x", "y", "n_y")]
+            keep = [same(x.as_py(), n.as_py(), y.as_py(), m.as_py()) for x, n, y, m in zip(*columns)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    xs = sets.select(F.col("doc_id").alias("a"), F.col("bits").alias("x"))
-    ys = sets.select(F.col("doc_id").alias("b"), F.col("bits").alias("y"))
-    return pairs.join(xs, "a").join(ys, "b").select("a", "b", "x", "y").mapInArrow(check, PAIRS)
+    xs = sides.select(F.col("doc_id").alias("a"), F.col("n").alias("n_x"), F.col("bits").alias("x"))
+    ys = sides.select(F.col("doc_id").alias("b"), F.col("n").alias("n_y"), F.col("bits").alias("y"))
+    return pairs.join(xs, "a").join(ys, "b").select("a", "b", "x", "n_x", "y", "n_y").mapInArrow(check, PAIRS)
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose sets really are similar: ``100 * common >= percent * union``.
+
+    Sketches, an eighth of the sets' size, go first; whole sets then meet for what is left, nearly all of it links.
+    """
+
+    def near(x: bytes, n_x: int, y: bytes, n_y: int) -> bool:
+        return may_be_similar(x, n_x, y, n_y, percent)
+
+    def similar(x: bytes, n_x: int, y: bytes, n_y: int) -> bool:
+        small, large = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+        common = int((large[at] == small).sum())
+        return 100 * common >= percent * (n_x + n_y - common)
+
+    return _checked(_checked(pairs, sketches, near), sets, similar)
 
 
 def similar_documents(
@@ -331,16 +365,17 @@ def similar_documents(
     chosen = least.where("first.doc_id IS NOT NULL").select("first.*")
     _postings(layout, chosen, gram, percent, hot_blocks).write.partitionBy("kind").parquet(f"{folder}/postings")
     stored = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
-    tokens, sets = stored.where("kind = 'token'").drop("kind"), stored.where("kind = 'set'").select("doc_id", "bits")
+    tokens = stored.where("kind = 'token'").drop("kind")
+    sketches, sets = (stored.where(F.col("kind") == kind).select("doc_id", "n", "bits") for kind in ("sketch", "set"))
 
     alone = tokens.withColumn("linked", F.col("doc_id"))
-    verified(_candidates(alone, layout.n_parts, percent, True), sets, percent).write.parquet(f"{folder}/links/turn=0")
+    verified(_candidates(alone, layout.n_parts, percent, True), sketches, sets, percent).write.parquet(f"{folder}/links/turn=0")
     links = spark.read.schema(PAIRS).parquet(f"{folder}/links/turn=0")
     known = connected_components(links, f"{folder}/first")
     labelled = tokens.join(known, tokens["doc_id"] == known["vertex"], "left").select(
         *tokens.columns, F.coalesce("component", "doc_id").alias("linked")
     )
-    verified(_candidates(labelled, layout.n_parts, percent, False), sets, percent).write.parquet(f"{folder}/links/turn=1")
+    verified(_candidates(labelled, layout.n_parts, percent, False), sketches, sets, percent).write.parquet(f"{folder}/links/turn=1")
     links = spark.read.schema(PAIRS).parquet(f"{folder}/links/turn=0", f"{folder}/links/turn=1")
     components = connected_components(links, f"{folder}/last")
 
