@@ -26,7 +26,7 @@ HEADLINES = (
     "topic_centrality",
     "knn_exact",
     "knn_year_filtered",
-    "knn_approximate",
+    "knn_cells",
     "embed_hashing",
     "parsed_questions",
     "retrieved_by_question",

@@ -90,11 +90,23 @@ def test_model_topics_and_fallback(papers):
     assert T.topic_list(T.extract_topics(texts, 3, failing)) == T.topic_list(T.top_terms(texts, 3))
 
 
-def test_topic_prompt_quotes_the_first_characters(spark):
-    rows = [(f"{i:03d}", "word" * 30) for i in range(50)]
+def test_topic_prompts_quote_every_character(spark):
+    rows = [(f"{i:03d}", "word" * (30 * i)) for i in range(50)] + [("null", None), ("long", "x" * 9000)]
     frame = spark.createDataFrame(rows, "paper_id STRING, body STRING")
-    prompt = T.topic_prompt(frame, 5).first()["prompt"]
-    assert " ".join(t for _, t in rows)[: T.PROMPT_CHARS] + "..." == prompt.split("Texts: ")[1]
+    prompts = T.topic_prompts(frame, 5, template="{texts}|{n}", chunk_chars=700).collect()
+    quoted = [r["prompt"].removesuffix("|5") for r in prompts]
+    assert sum(len(q.replace("\n", "")) for q in quoted) == sum(len(t or "") for _, t in rows)
+    assert len({r["prompt_id"] for r in prompts}) == len(prompts) > 50 and max(map(len, quoted)) <= 2 * 700 + 60
+
+
+def test_model_topics_count_the_prompts_that_name_them(spark):
+    frame = spark.createDataFrame([(str(i), "a" * 100) for i in range(6)], "paper_id STRING, body STRING")
+
+    def factory():
+        return lambda prompts: [f"- common\n- only {len(p)}" if "a" in p else "" for p in prompts]
+
+    rows = T.model_topics(frame, 3, factory, chunk_chars=100).collect()
+    assert rows[0]["topic"] == "common" and [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
 
 
 TOPICS = ["graph", "image", "networks", "AI", "zzqx"]

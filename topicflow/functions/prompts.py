@@ -1,27 +1,24 @@
-"""Prompt templates; ``{abstract}`` and ``{domain}`` are replaced literally."""
+"""Prompt templates; ``{abstract}`` and ``{domain}`` are replaced literally.
+
+Jobs take any mapping of names to templates. The few given here differ by purpose: how long the
+answer may be, whom it is for, and the form it takes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 TEMPLATES = {
-    "basic": "Summarise this scientific abstract in two to four sentences. State the main contributions and findings.\n\n"
-    "Abstract: {abstract}\n\nSummary:",
-    "improved": "As a research assistant, summarise the abstract below in two or three sentences. Cover the problem, "
-    "the method and the main results.\n\nAbstract: {abstract}\n\nSummary:",
-    "academic": "Write a short academic summary of the abstract below, three sentences at most. Mention the research "
-    "question, the approach, the findings and why they matter.\n\nAbstract: {abstract}\n\nSummary:",
-    "technical": "Give a brief technical summary of the abstract below: the problem, the technique, the measured results "
-    "and what is new.\n\nAbstract: {abstract}\n\nSummary:",
-    "simple": "Put this abstract into two or three sentences:\n\n{abstract}\n\nSummary:",
-    "structured": "Summarise the abstract below under three headings.\n\nProblem:\nMethod:\nResults:\n\n"
-    "Abstract: {abstract}\n\nSummary:",
-    "length_constrained": "Summarise the abstract below in exactly two sentences, one on the problem and approach and one "
-    "on the results and their meaning.\n\nAbstract: {abstract}\n\nSummary:",
-    "domain_specific": "Summarise this {domain} abstract in two or three sentences. Name what it adds to {domain}.\n\n"
-    "Abstract: {abstract}\n\nSummary:",
+    "headline": "{abstract}\n\nWrite one sentence of at most 25 words that tells what was found. Answer with the sentence only.",
+    "newcomer": "A first-year student will read your text.\n\n<text>\n{abstract}\n</text>\n\n"
+    "Explain in 60 to 80 everyday words what the authors wanted to know and what they learned.",
+    "key_facts": "From the text between the lines take up to five facts, one per line, each starting with '* '. "
+    "Use numbers where the text has them.\n---\n{abstract}\n---",
+    "reviewer": "You review submissions on {domain}. Here is one:\n\n{abstract}\n\n"
+    "State its claim, the evidence offered for it and one open question, in a paragraph.",
 }
-SUMMARY_TEMPLATE = TEMPLATES["academic"]
+SUMMARY_TEMPLATE = TEMPLATES["newcomer"]
+TOPIC_TEMPLATE = "{texts}\n\nName up to {n} subjects that several of the texts above share, one per line."
 
 
 def render(template: Column, abstract: Column, domain: str = "machine learning") -> Column:

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
 from topicflow.functions.prompts import SUMMARY_TEMPLATE, TEMPLATES, render
-from topicflow.functions.text import strip_reasoning
+from topicflow.functions.text import strip_reasoning, tokens
 from topicflow.operators.models import ModelFactory, apply_model, complete
-from topicflow.operators.topics import top_terms
 
-SENTENCE = re.compile("[^.!?]+[.!?]*")
-WORD = re.compile("[a-z0-9_]{2,}", re.ASCII)
+SENTENCE = "[^.!?]+[.!?]*"
 CORPUS_PAPERS = 13_223
 """Fixed value: size of the corpus to which run times are extrapolated."""
 
@@ -62,37 +59,45 @@ def compare_prompts(papers: DataFrame, model: ModelFactory | None = None, **opti
 class ExtractiveSummary:
     """Offline stand-in for a model: the sentences whose words weigh most, in text order.
 
-    A sentence weighs the mean of its words' corpus weights, computed on whole millionths so
-    that equal sentences tie exactly; the earlier one then wins.
+    ``weights`` (term, weight) is a table, joined by word. A sentence weighs the mean of its words' weights (words as in the
+    topic operators, a word without weight counting 0), computed in whole numbers so that
+    equal sentences tie exactly; the earlier one then wins.
     """
 
-    def __init__(self, weights: Mapping[str, int], sentences: int = 3):
-        self.weights, self.sentences = dict(weights), sentences
-
-    def __call__(self):
-        return self.summarise
-
-    def summarise(self, abstracts: Sequence[str]) -> list[str]:
-        return [self._summary(a) for a in abstracts]
-
-    def _summary(self, abstract: str) -> str:
-        found = [s for s in (m.strip(" ") for m in SENTENCE.findall(abstract)) if s]
-        order = sorted(range(len(found)), key=lambda i: (-self._weight(found[i]), i))
-        return " ".join(found[i] for i in sorted(order[: self.sentences]))
-
-    def _weight(self, sentence: str) -> int:
-        words = WORD.findall(sentence.lower())
-        return sum(self.weights.get(w, 0) for w in words) * 1000 // len(words) if words else 0
-
-
-def term_weights(texts: DataFrame, body: str = "body") -> dict[str, int]:
-    """Corpus weight of each vocabulary term in millionths; the vocabulary is capped by its size limit."""
-    rows = top_terms(texts, n=1000, body=body).collect()
-    return {r["topic"]: round(r["score"] * 1e6) for r in rows}
+    def __init__(self, weights: DataFrame, sentences: int = 3):
+        self.weights, self.sentences = weights, sentences
+
+    def summaries(self, papers: DataFrame) -> DataFrame:
+        """paper_id and summary of every abstract; expressions and joins only."""
+        trimmed = F.transform(F.regexp_extract_all(F.coalesce("abstract", F.lit("")), F.lit(SENTENCE), 0), lambda s: F.trim(s))
+        split = F.filter(trimmed, lambda s: s != "")
+        sentences = papers.select("paper_id", split.alias("sentences"))
+        each = sentences.select("paper_id", F.posexplode("sentences").alias("pos", "sentence"))
+        words = each.select("paper_id", "pos", F.explode(tokens(F.lower("sentence"))).alias("term"))
+        weighed = words.join(self.weights, "term", "left").groupBy("paper_id", "pos").agg(
+            F.expr("sum(coalesce(weight, 0)) * 1000 div count(term)").alias("weight")
+        )
+        scored = weighed.groupBy("paper_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("pos", "weight"))).alias("weights")
+        )
+        joined = sentences.join(scored, "paper_id", "left")
+        order = F.array_sort(
+            F.transform(
+                "sentences",
+                lambda s, i: F.struct((-F.coalesce(F.try_element_at("weights", i), F.lit(0))).alias("order"), i.alias("pos"), s.alias("sentence")),
+            )
+        )
+        best = F.array_sort(F.transform(F.slice(order, 1, self.sentences), lambda s: F.struct(s["pos"], s["sentence"])))
+        return joined.select("paper_id", F.array_join(F.transform(best, lambda s: s["sentence"]), " ").alias("summary"))
 
 
-def summarise(papers: DataFrame, model: ModelFactory, **options) -> DataFrame:
+def summarise(papers: DataFrame, model: ModelFactory | ExtractiveSummary, **options) -> DataFrame:
     """paper_id, summary, error, attempts for each abstract; reasoning tags are stripped from the answers."""
+    if isinstance(model, ExtractiveSummary):
+        answers = model.summaries(papers)
+        return answers.select(
+            "paper_id", F.nullif("summary", F.lit("")).alias("summary"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("attempts")
+        )
     answers = apply_model(papers, model, "paper_id", "abstract", "response", **options)
     summary = strip_reasoning(F.col("response"))
     return answers.select("paper_id", F.nullif(summary, F.lit("")).alias("summary"), "error", "attempts")

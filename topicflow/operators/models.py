@@ -25,10 +25,24 @@ def call_with_retry(call: BatchFunction, text: str, attempts: int, pause: float)
         except Exception as e:  # any model error counts as one failed attempt
             error = f"{type(e).__name__}: {e}"
             if attempt < attempts:
-                time.sleep(pause)
+                time.sleep(pause * 2 ** (attempt - 1))
     return None, error, attempts
 
 
+def call_batch(call: BatchFunction, texts: Sequence[str], attempts: int, pause: float) -> list[tuple[object, str | None, int]]:
+    """Results of a batch. A batch that fails is halved until the rows that fail stand alone; only those are tried again."""
+    try:
+        results = list(call(list(texts)))
+        if len(results) != len(texts):
+            raise ValueError("the model returned a different number of results")
+        return [(r, None, 1) for r in results]
+    except Exception:
+        if len(texts) <= 1:
+            return [call_with_retry(call, text, attempts, pause) for text in texts]
+        half = len(texts) // 2
+        return call_batch(call, texts[:half], attempts, pause) + call_batch(call, texts[half:], attempts, pause)
+
+
 def apply_model(
     df: DataFrame,
     factory: ModelFactory,
@@ -42,8 +56,8 @@ def apply_model(
 ) -> DataFrame:
     """One row per input row: id, kept columns, output, error, attempts.
 
-    A batch is tried as a whole first. If that fails, its rows are tried one by one,
-    and a row that keeps failing yields a null output with the error next to it.
+    A batch is tried as a whole first and halved where it fails. A row that keeps failing yields a
+    null output with the error next to it; the pause between its attempts doubles.
     """
 
     ids = [id_col, *keep]
@@ -53,12 +67,7 @@ def apply_model(
         call = factory()
         for batch in batches:
             inputs = batch[input_col].tolist()
-            try:
-                results = [(r, None, 1) for r in call(inputs)]
-                if len(results) != len(inputs):
-                    raise ValueError("the model returned a different number of results")
-            except Exception:
-                results = [call_with_retry(call, text, attempts, pause) for text in inputs]
+            results = call_batch(call, inputs, attempts, pause)
             yield pd.DataFrame(
                 {
                     **{c: batch[c].tolist() for c in ids},

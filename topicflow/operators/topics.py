@@ -21,14 +21,15 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normali
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from topicflow.functions.prompts import TOPIC_TEMPLATE
 from topicflow.functions.text import STOP_WORDS, neighbours, only_words, tokens, topic_lines
 from topicflow.operators.models import ModelFactory, complete
 
 MAX_FEATURES = 1000
 MIN_DOCUMENTS = 2
-PROMPT_CHARS = 4000
+CHUNK_CHARS, CHUNKS_PER_BUCKET = 4000, 64
 FREQUENT_WORDS = 5000
 """Up to this many words are fetched to prune pairs; with more ties at the cut, nothing is pruned."""
 
@@ -103,6 +104,12 @@ def kept_terms(texts: DataFrame, body: str = "body", **options) -> DataFrame:
     return texts.sparkSession.createDataFrame(list(fit_vocabulary(texts, body, **options).terms), TERM_SCHEMA)
 
 
+def word_weights(texts: DataFrame, body: str = "body", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """term, weight: the logarithm of its occurrences in millionths, for every word that at least two texts hold."""
+    counts = _counts(_words(texts, body, stop_words), "words").where(F.col("documents") >= MIN_DOCUMENTS)
+    return counts.select("term", F.round(F.log1p("occurrences") * 1e6).cast("long").alias("weight"))
+
+
 def top_terms(
     texts: DataFrame,
     n: int = 10,
@@ -134,34 +141,56 @@ def top_terms(
     )
 
 
-def topic_prompt(texts: DataFrame, n_topics: int, body: str = "body", key: str = "paper_id") -> DataFrame:
-    """One prompt that asks for topics, quoting the first characters of the joined texts.
+def topic_prompts(
+    texts: DataFrame,
+    n_topics: int,
+    body: str = "body",
+    key: str = "paper_id",
+    template: str = TOPIC_TEMPLATE,
+    chunk_chars: int = CHUNK_CHARS,
+) -> DataFrame:
+    """Prompts (prompt_id, prompt) that together quote every character of every text.
 
-    Every text adds at least the joining blank, so the first ``PROMPT_CHARS`` characters
-    never reach past that many texts and the rest need not be looked at.
+    Texts are cut into pieces of ``chunk_chars``; pieces are dealt to bounded buckets by a hash of the key and
+    packed within a bucket in the order of their keys, so a prompt quotes at most twice as much.
     """
-    first = texts.select(key, F.left(body, F.lit(PROMPT_CHARS)).alias("text")).orderBy(key).limit(PROMPT_CHARS)
-    ordered = F.array_sort(F.collect_list(F.struct(key, "text")))
-    joined = F.array_join(F.transform(ordered, lambda r: r["text"]), " ")
-    request = (
-        f"List the {n_topics} main research topics of the texts below: methods, fields, new technologies and uses. "
-        "Give one topic name per line and nothing else.\n\nTexts: "
+    body_text = F.coalesce(F.col(body), F.lit(""))
+    total = texts.agg(F.sum(F.char_length(body_text)).alias("n")).first()["n"] or 0
+    buckets = max(1, -(-int(total) // (chunk_chars * CHUNKS_PER_BUCKET)))
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length(body_text) - 1, F.lit(0)), F.lit(chunk_chars))
+    hashed = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    pieces = texts.select(
+        F.col(key).cast("string").alias("key"), F.pmod(hashed, F.lit(buckets)).alias("bucket"), body_text.alias("text"), F.explode(starts).alias("start")
+    ).select("key", "bucket", "start", F.substring("text", F.col("start") + 1, F.lit(chunk_chars)).alias("piece"))
+    before = Window.partitionBy("bucket").orderBy("key", "start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("chunk", F.floor(F.coalesce(F.sum(F.char_length("piece")).over(before), F.lit(0)) / chunk_chars))
+    ordered = F.array_sort(F.collect_list(F.struct("key", "start", "piece")))
+    quoted = F.array_join(F.transform(ordered, lambda r: r["piece"]), "\n")
+    asked = template.replace("{n}", str(n_topics))
+    return placed.groupBy("bucket", "chunk").agg(quoted.alias("quoted")).select(
+        F.concat_ws("-", F.col("bucket").cast("string"), F.col("chunk").cast("string")).alias("prompt_id"),
+        F.replace(F.lit(asked), F.lit("{texts}"), F.col("quoted")).alias("prompt"),
+    )
+
+
+def model_topics(texts: DataFrame, n_topics: int, model: ModelFactory, body: str = "body", **options) -> DataFrame:
+    """Topics that a model names over all texts (rank, topic, score): by the prompts that name them, ties by name."""
+    answers = complete(topic_prompts(texts, n_topics, body, **options), model, id_col="prompt_id", prompt_col="prompt")
+    named = answers.select("prompt_id", F.explode(F.array_distinct(topic_lines(F.col("response"), n_topics))).alias("topic"))
+    counts = named.groupBy("topic").agg(F.count("*").cast("double").alias("score")).orderBy(F.desc("score"), "topic").limit(n_topics)
+    first = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "topic", "score")))
+    return counts.agg(first.alias("best")).select(F.posexplode("best").alias("pos", "t")).select(
+        (F.col("pos") + 1).cast("int").alias("rank"), "t.topic", "t.score"
     )
-    return first.agg(F.concat(F.lit(request), F.left(joined, F.lit(PROMPT_CHARS)), F.lit("...")).alias("prompt"))
 
 
 def extract_topics(
     texts: DataFrame, n_topics: int = 10, model: ModelFactory | None = None, body: str = "body", **options
 ) -> DataFrame:
-    """Ordered topics of the texts. With a model, its answer is used unless it fails or is empty."""
+    """Ordered topics of the texts. With a model, its answers are used unless all fail or are empty."""
     if model is not None:
-        prompt = topic_prompt(texts, n_topics, body).withColumn("prompt_id", F.lit("topics"))
-        lines = complete(prompt, model, id_col="prompt_id", prompt_col="prompt").select(
-            topic_lines(F.col("response"), n_topics).alias("topics")
-        )
-        answer = lines.first()
-        if answer is not None and answer["topics"]:
-            rows = [(i, t, None) for i, t in enumerate(dict.fromkeys(answer["topics"]), 1)]
+        rows = [tuple(r) for r in model_topics(texts, n_topics, model, body).collect()]
+        if rows:
             return texts.sparkSession.createDataFrame(rows, TOPIC_SCHEMA)
     return top_terms(texts, n_topics, body, **options)
 

@@ -6,7 +6,7 @@ grouping by document where Spark works within the row, for instance.
 
 from __future__ import annotations
 
-from topicflow.functions.prompts import SUMMARY_TEMPLATE, TEMPLATES
+from topicflow.functions.prompts import SUMMARY_TEMPLATE, TEMPLATES, TOPIC_TEMPLATE
 from topicflow.functions.words import STOP_WORDS
 
 TOPICS = ("thanedble", "thintion", "theaeati", "worthless", "pathetic", "disgusting", "tion the", "zzqx")
@@ -247,16 +247,20 @@ ANSWER = _strip(
 
 
 def _extract(source: str) -> str:
-    """Best three sentences of each abstract of a relation, weighted by the corpus terms."""
-    return f"""{_tfidf("corpus", "TRUE", 1000)},
-weights AS (SELECT topic, CAST(round(score * 1000000) AS BIGINT) AS weight FROM corpus),
+    """Best three sentences of each abstract of a relation, weighted by the corpus words."""
+    kept = f"lambda w: w NOT IN ({STOP_LIST})"
+    return f"""
+corpus AS (SELECT paper_id, unnest(list_filter(regexp_extract_all(body, '{WORDS}'), {kept})) AS topic FROM bodies),
+weights AS (
+  SELECT topic, CAST(round(ln(1 + count(*)) * 1000000) AS BIGINT) AS weight FROM corpus
+  GROUP BY topic HAVING count(DISTINCT paper_id) >= 2),
 sentences AS (
   SELECT paper_id, pos, trim(s) AS sentence FROM (
     SELECT paper_id, unnest(regexp_extract_all(abstract, '[^.!?]+[.!?]*')) AS s,
            unnest(range(len(regexp_extract_all(abstract, '[^.!?]+[.!?]*')))) AS pos FROM {source})
   WHERE trim(s) <> ''),
 sentence_words AS (
-  SELECT paper_id, pos, unnest(regexp_extract_all(lower(sentence), '{WORDS}')) AS topic FROM sentences),
+  SELECT paper_id, pos, unnest(list_filter(regexp_extract_all(lower(sentence), '{WORDS}'), {kept})) AS topic FROM sentences),
 sentence_weights AS (
   SELECT paper_id, pos, CAST(sum(coalesce(weight, 0)) AS BIGINT) * 1000 // count(*) AS weight
   FROM sentence_words LEFT JOIN weights USING (topic) GROUP BY paper_id, pos),
@@ -305,10 +309,19 @@ UNION ALL SELECT 5, position,
 TEMPLATE_ROWS = ", ".join(
     f"({_quote(k)}, {_quote(v.replace('{domain}', 'machine learning'))})" for k, v in TEMPLATES.items()
 )
-TOPIC_REQUEST = (
-    "List the 15 main research topics of the texts below: methods, fields, new technologies and uses. "
-    "Give one topic name per line and nothing else.\n\nTexts: "
-)
+TOPIC_PROMPTS = f"""
+sized AS (SELECT CAST(greatest(1, ceil(sum(length(body)) / (4000 * 64.0))) AS BIGINT) AS n FROM bodies),
+pieces AS (
+  SELECT paper_id AS key, CAST('0x' || substr(md5(paper_id), 1, 8) AS BIGINT) % n AS bucket, s AS start, substr(body, s + 1, 4000) AS piece
+  FROM (SELECT *, unnest(range(0, greatest(length(body), 1), 4000)) AS s FROM bodies), sized),
+placed AS (
+  SELECT *, CAST(coalesce(sum(length(piece)) OVER (PARTITION BY bucket ORDER BY key, start
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 4000 AS chunk
+  FROM pieces),
+prompts AS (
+  SELECT bucket || '-' || chunk AS prompt_id,
+         replace({_quote(TOPIC_TEMPLATE.replace("{n}", "15"))}, '{{texts}}', string_agg(piece, chr(10) ORDER BY key, start)) AS prompt
+  FROM placed GROUP BY bucket, chunk)"""
 
 ORACLE_SQL = {
     "topic_trends": f"""WITH {PAPERS}, keys(rank, topic) AS (VALUES {VALUES_TOPICS}),{_trends("keys")}
@@ -346,7 +359,7 @@ ORACLE_SQL = {
     "papers_of_year": f"WITH {PAPERS} SELECT paper_id, title, abstract, summary, year, venue FROM papers WHERE year = 2023",
     "papers_of_year_limited": f"""WITH {PAPERS}
         SELECT paper_id, year, title, venue FROM papers
-        QUALIFY row_number() OVER (PARTITION BY year ORDER BY paper_id) <= 1000""",
+        QUALIFY row_number() OVER (PARTITION BY year ORDER BY paper_id) <= 25""",
     "papers_of_repeated_years": f"""WITH {PAPERS}
         SELECT paper_id, year, title FROM papers JOIN (VALUES (2023), (2024), (2024)) y(wanted) ON year = wanted""",
     "papers_per_year": f"""SELECT CAST(y AS INTEGER) AS year, count(doc_id) AS papers
@@ -377,6 +390,10 @@ ORACLE_SQL = {
         FROM queries LEFT JOIN matches USING (query_id) GROUP BY query_id""",
     "knn_titles": f"""WITH {PAPERS},{BY_LABEL}
         SELECT query_id, rank, title, year FROM matches JOIN papers USING (paper_id)""",
+    "knn_cells": f"WITH {BY_LABEL} SELECT query_id, rank, paper_id, distance FROM matches",
+    "knn_many_queries": f"""WITH {VECTORS},
+        queries AS (SELECT paper_id AS query_id, embedding AS q FROM vectors),{_nearest("TRUE")}
+        SELECT query_id, rank, paper_id, distance FROM matches WHERE rank <= 3""",
     "embed_hashing": f"""WITH {PAPERS}, counts AS ({_buckets("abstract", "paper_id", "papers")})
         SELECT paper_id, CAST(bucket AS INTEGER) AS bucket, n AS count FROM counts""",
     "parsed_questions": f"WITH {PARSED} SELECT * FROM parsed",
@@ -433,8 +450,12 @@ ORACLE_SQL = {
         SELECT template, count(*) AS prompts, CAST(sum(length(replace(body, '{{abstract}}', abstract))) AS BIGINT) AS prompt_chars,
                round(avg(length(replace(body, '{{abstract}}', abstract))), 6) AS mean_prompt_chars
         FROM catalog CROSS JOIN papers GROUP BY template""",
-    "topics_prompt": f"""WITH {PAPERS}
-        SELECT {_quote(TOPIC_REQUEST)} || left(string_agg(body, ' ' ORDER BY paper_id), 4000) || '...' AS prompt FROM bodies""",
+    "topics_prompt": f"""WITH {PAPERS},{TOPIC_PROMPTS} SELECT prompt_id, prompt FROM prompts""",
+    "model_topics": f"""WITH {PAPERS},{TOPIC_PROMPTS},
+        named AS (SELECT DISTINCT prompt_id, {_strip("unnest(string_split(replace(prompt, chr(10), ' '), ' ')[1:3])")} AS topic FROM prompts),
+        counts AS (SELECT topic, CAST(count(*) AS DOUBLE) AS score FROM named WHERE topic <> '' GROUP BY topic)
+        SELECT CAST(row_number() OVER (ORDER BY score DESC, topic) AS INTEGER) AS rank, topic, score FROM counts
+        ORDER BY score DESC, topic LIMIT 15""",
     "extractive_summary": f"""WITH {PAPERS},
         wanted AS (SELECT * FROM papers WHERE abstract <> '' AND coalesce(summary, '') = ''),{_extract("wanted")}
         SELECT paper_id, summary FROM extracts""",

@@ -6,6 +6,8 @@ results can be compared by value with SQL.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from topicflow.functions.text import strip_reasoning, topic_lines
@@ -22,9 +24,10 @@ from topicflow.operators.retrieval import (
     fit_cells,
     grouped_matches,
     nearest_papers,
-    nearest_papers_approximate,
+    nearest_papers_in_cells,
     with_cells,
     with_papers,
+    write_cells,
 )
 from topicflow.plans import report as reports
 from topicflow.session import shared_dir
@@ -100,7 +103,7 @@ def papers_of_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def papers_of_year_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers = collection.papers_of_years(src.papers(spark, sf_dir), range(YEARS[0], YEARS[1] + 1), limit_per_year=1000)
+    papers = collection.papers_of_years(src.papers(spark, sf_dir), range(YEARS[0], YEARS[1] + 1), limit_per_year=25)
     return papers.select("paper_id", "year", "title", "venue")
 
 
@@ -163,14 +166,11 @@ def chart_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mean_vectors(vectors: DataFrame, *keys: str) -> DataFrame:
-    """The mean vector of each group as a query, summed per dimension with map-side combining."""
-    cells = vectors.select(*keys, F.posexplode("embedding").alias("pos", "x"))
-    means = cells.groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
-    query_id = F.concat_ws("-", *[F.col(k).cast("string") for k in keys])
-    return means.groupBy(*keys).agg(F.transform(ordered, lambda p: p["x"]).alias("embedding")).withColumn(
-        "query_id", query_id
+    """The mean vector of each group as a query; partial sums of whole vectors are combined on the map side."""
+    means = vectors.where(F.col("embedding").isNotNull()).groupBy(*keys).agg(
+        vector_to_array(Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))).alias("embedding")
     )
+    return means.withColumn("query_id", F.concat_ws("-", *[F.col(k).cast("string") for k in keys]))
 
 
 def _label_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,10 +202,20 @@ def knn_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def knn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = src.paper_vectors(spark, sf_dir)
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of ``knn_exact`` over vectors that are written by cell and read back."""
+    vectors, stored = src.paper_vectors(spark, sf_dir), shared_dir(spark, "cells")
     centres = fit_cells(vectors, VECTOR_SIZE)
-    matches = nearest_papers_approximate(with_cells(vectors, centres), _mean_vectors(vectors, "label"), centres, 5)
+    write_cells(with_cells(vectors, centres), stored)
+    matches = nearest_papers_in_cells(spark.read.parquet(stored), _mean_vectors(vectors, "label"), centres, k=5)
+    return matches.select("query_id", "rank", "paper_id", _six("distance").alias("distance"))
+
+
+def knn_many_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a query, in several chunks."""
+    vectors = src.paper_vectors(spark, sf_dir)
+    queries = vectors.select(F.col("paper_id").alias("query_id"), "embedding")
+    matches = nearest_papers(vectors, queries, 3, chunk_queries=128)
     return matches.select("query_id", "rank", "paper_id", _six("distance").alias("distance"))
 
 
@@ -303,11 +313,24 @@ def prompt_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topics_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topic_ops.topic_prompt(trends.paper_texts(src.papers(spark, sf_dir)), 15)
+    return topic_ops.topic_prompts(trends.paper_texts(src.papers(spark, sf_dir)), 15)
+
+
+def _first_words():
+    """A model without chance: it answers with the first three words of its prompt."""
+
+    def answer(prompts):
+        return ["\n".join(p.replace("\n", " ").split(" ")[:3]) for p in prompts]
+
+    return answer
+
+
+def model_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topic_ops.model_topics(trends.paper_texts(src.papers(spark, sf_dir)), 15, _first_words)
 
 
 def _summariser(papers: DataFrame) -> enrich.ExtractiveSummary:
-    return enrich.ExtractiveSummary(enrich.term_weights(trends.paper_texts(papers)))
+    return enrich.ExtractiveSummary(topic_ops.word_weights(trends.paper_texts(papers)))
 
 
 def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,8 +346,9 @@ def enrichment_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enrichment_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs of the resumable job over the document files; the second finds nothing to do."""
-    model = _summariser(src.papers(spark, sf_dir))
-    results, checkpoint = shared_dir(spark, "summaries"), shared_dir(spark, "enrichment")
+    weights, results, checkpoint = (shared_dir(spark, name) for name in ("weights", "summaries", "enrichment"))
+    topic_ops.word_weights(trends.paper_texts(src.papers(spark, sf_dir))).write.parquet(weights)
+    model = enrich.ExtractiveSummary(spark.read.parquet(weights))
     for _ in range(2):
         start_enrichment(src.arriving_papers(spark, sf_dir), results, checkpoint, model).awaitTermination()
     return read_results(spark, results).select("paper_id", "summary")
@@ -353,10 +377,10 @@ QUERIES = {
         venue_histogram, papers_load, papers_of_year, papers_of_year_limited, papers_of_repeated_years, papers_per_year,
         total_papers, term_statistics, top_terms_tfidf, emerging_topics, chart_emerging, chart_topic_trends,
         topic_document_frequency, topic_cooccurrence, topic_centrality, chart_centrality, knn_exact, knn_year_filtered,
-        knn_batch, knn_titles, knn_approximate, embed_hashing, parsed_questions, parsed_questions_reference, retrieved_by_question,
+        knn_batch, knn_titles, knn_cells, knn_many_queries, embed_hashing, parsed_questions, parsed_questions_reference, retrieved_by_question,
         question_contexts, question_contexts_by_year, question_prompts, pending_summaries, applied_summaries,
         summary_coverage, summary_samples, stripped_reasoning, model_topic_lines, rendered_prompts, prompt_comparison,
-        topics_prompt, extractive_summary, enrichment_counters, enrichment_incremental, run_statistics, trend_report,
+        topics_prompt, model_topics, extractive_summary, enrichment_counters, enrichment_incremental, run_statistics, trend_report,
         report_lines,
     )
 }

@@ -14,7 +14,7 @@ CLEAN_SCHEMA = (
 
 
 def write_clean(papers: DataFrame, path: str) -> None:
-    papers.write.mode("overwrite").partitionBy("conference").parquet(path)
+    papers.hint("rebalance", "conference").write.mode("overwrite").partitionBy("conference").parquet(path)
 
 
 def read_clean(spark: SparkSession, path: str) -> DataFrame:

@@ -37,11 +37,12 @@ def processed_ids(results: DataFrame) -> DataFrame:
 
 
 def enrich_batch(
-    papers: DataFrame, path: str, model: ModelFactory, batch_id: int = -1, max_failure_ratio: float = 1.0, **options
+    papers: DataFrame, path: str, model: ModelFactory, batch_id: int = -1, max_failure_ratio: float = 0.5, **options
 ) -> None:
     """Summarise the pending papers of one batch, append the results, then check the failures."""
     spark = papers.sparkSession
-    pending = pending_summaries(papers, processed_ids(read_results(spark, path)))
+    once = papers.dropDuplicates(["paper_id"])
+    pending = pending_summaries(once, processed_ids(read_results(spark, path)))
     results = summarise(pending, model, **options)
     stamped = results.withColumn("ts", F.current_timestamp()).withColumn("batch_id", F.lit(batch_id).cast("long"))
     good = F.length(F.coalesce("summary", F.lit(""))) > 0
@@ -55,7 +56,7 @@ def enrich_batch(
 
 
 def start_enrichment(
-    papers: DataFrame, path: str, checkpoint: str, model: ModelFactory, max_failure_ratio: float = 1.0, **options
+    papers: DataFrame, path: str, checkpoint: str, model: ModelFactory, max_failure_ratio: float = 0.5, **options
 ) -> StreamingQuery:
     """Process everything that has arrived since the last run, then stop."""
 
