@@ -56,6 +56,13 @@ def optional_text(content: Column, key: str) -> Column:
     return string_of(member(content, key))
 
 
+def wrapped_text(content: Column, key: str) -> Column:
+    """Like :func:`optional_text`, but an object without ``value`` is a field left empty."""
+    given = member(content, key)
+    bare_object = _kind(given).startswith("OBJECT<") & member(content, key, "value").isNull()
+    return F.coalesce(string_of(given), F.when(bare_object, F.lit("")))
+
+
 def string_list(content: Column, key: str) -> Column:
     """String elements of a list field, bare or wrapped; an empty list for anything else."""
     bare = F.try_variant_get(member(content, key), "$", "array<variant>")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from topicflow.functions.notes import optional_text, string_list, string_of, text_field
+from topicflow.functions.notes import string_list, string_of, text_field, wrapped_text
 from topicflow.functions.text import clean_text
 
 
@@ -21,7 +21,7 @@ def flatten_notes(notes: DataFrame) -> DataFrame:
         clean_text(text_field(content, "abstract")).alias("abstract"),
         string_list(content, "authors").alias("authors"),
         string_list(content, "keywords").alias("keywords"),
-        optional_text(content, "venue").alias("venue"),
+        wrapped_text(content, "venue").alias("venue"),
         string_of(F.col("decision")).alias("decision"),
         F.col("decision").isNotNull().alias("has_decision"),
     )

@@ -26,21 +26,28 @@ class TopicNetwork:
     total_papers: DataFrame
 
 
-def topic_sets(texts: DataFrame, topics: Sequence[str]) -> DataFrame:
-    """Number of papers for each set of topics (by position) that some paper contains."""
+def pair_counts(texts: DataFrame, topics: Sequence[str]) -> DataFrame:
+    """Papers that contain both topics i and j (positions, i <= j; i = j: the one topic).
+
+    Pairs are formed within the row and counted with map-side combining, so a task sends one number per
+    pair at most, however many papers it reads.
+    """
     found = [F.when(F.contains(F.col("body"), F.lower(F.lit(t))), F.lit(i)) for i, t in enumerate(topics)]
-    return texts.groupBy(F.array_compact(F.array(*found)).alias("found")).agg(F.count("*").alias("papers"))
+    rows = texts.select(F.array_compact(F.array(*found)).alias("found"))
+    pairs = F.flatten(
+        F.transform("found", lambda i: F.transform(F.filter("found", lambda j: j >= i), lambda j: F.struct(i.alias("i"), j.alias("j"))))
+    )
+    return rows.select(F.inline(pairs)).groupBy("i", "j").agg(F.count("*").alias("papers"))
 
 
 def _topic_at(position: str, topics: Sequence[str]) -> Column:
     return F.element_at(F.lit(list(topics)), F.col(position) + 1)
 
 
-def document_frequencies(sets: DataFrame, topics: Sequence[str]) -> DataFrame:
+def document_frequencies(counts: DataFrame, topics: Sequence[str]) -> DataFrame:
     """Papers containing each topic, zero included."""
-    counts = sets.select("papers", F.explode("found").alias("i")).groupBy("i").agg(F.sum("papers").alias("papers"))
-    every = _positions(sets, topics)
-    return every.join(counts, "i", "left").select(
+    own = counts.where(F.col("i") == F.col("j")).select("i", "papers")
+    return _positions(counts, topics).join(own, "i", "left").select(
         (F.col("i") + 1).alias("rank"),
         _topic_at("i", topics).alias("topic"),
         F.coalesce("papers", F.lit(0)).cast("long").alias("papers"),
@@ -51,14 +58,13 @@ def _positions(df: DataFrame, topics: Sequence[str]) -> DataFrame:
     return df.sparkSession.range(len(topics)).select(F.col("id").cast("int").alias("i"))
 
 
-def cooccurrence(sets: DataFrame, topics: Sequence[str], min_cooccurrence: int = 2) -> DataFrame:
+def cooccurrence(counts: DataFrame, topics: Sequence[str], min_cooccurrence: int = 2) -> DataFrame:
     """Papers shared by each ordered pair of different topics, from the minimum on."""
-    first = sets.select("papers", "found", F.explode("found").alias("i"))
-    pairs = first.select("papers", "i", F.explode("found").alias("j")).where(F.col("i") != F.col("j"))
-    counts = pairs.groupBy("i", "j").agg(F.sum("papers").alias("n"))
+    pairs = counts.where(F.col("i") != F.col("j")).select("i", "j", F.col("papers").alias("n"))
+    counts = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
     if min_cooccurrence <= 0:
         positions = F.lit(list(range(len(topics))))
-        every = _positions(sets, topics).select("i", F.explode(positions).alias("j")).where(F.col("i") != F.col("j"))
+        every = _positions(counts, topics).select("i", F.explode(positions).alias("j")).where(F.col("i") != F.col("j"))
         counts = every.join(counts, ["i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return counts.where(F.col("n") >= min_cooccurrence).select(
         _topic_at("i", topics).alias("topic1"),
@@ -90,7 +96,7 @@ def topic_network(
     if not topics:
         spark = papers.sparkSession
         return TopicNetwork(spark.createDataFrame([], NODE_SCHEMA), spark.createDataFrame([], EDGE_SCHEMA), total)
-    sets = topic_sets(texts, topics)
+    sets = pair_counts(texts, topics)
     edges = cooccurrence(sets, topics, min_cooccurrence)
     return TopicNetwork(centrality(document_frequencies(sets, topics), edges), edges, total)
 

@@ -419,6 +419,23 @@ ORACLE_SQL = {
         SELECT question, 'Answer the question from the context below.' || chr(10) || chr(10) || 'Context: '
                || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Answer:' AS prompt
         FROM distinct_questions LEFT JOIN question_texts USING (question)""",
+    "answered_questions": f"""WITH {RETRIEVED}
+        SELECT question, right('Context: ' || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || question
+               || chr(10) || chr(10) || 'Answer:', 60) AS answer, CAST(NULL AS VARCHAR) AS error
+        FROM distinct_questions LEFT JOIN question_texts USING (question)""",
+    "stored_notes": f"WITH {PAPERS},{FLAT} SELECT * FROM flat",
+    "stored_papers": f"""WITH {PAPERS},{FLAT}
+        SELECT conference, paper_id, number, title, abstract, venue, decision FROM flat WHERE title <> '' AND abstract <> ''""",
+    "stored_collection": f"""WITH {PAPERS},{FLAT}
+        SELECT paper_id, title, conference, coalesce(venue, 'unknown') AS venue, CAST(right(conference, 4) AS INTEGER) AS year,
+               keywords, CAST(NULL AS VARCHAR) AS summary
+        FROM flat WHERE title <> '' AND abstract <> ''""",
+    "rejected_papers": f"""WITH {PAPERS}
+        SELECT paper_id, source AS conference, CAST(NULL AS INTEGER) AS year FROM papers WHERE doc_id % 10 = 3""",
+    "enrichment_failures": f"""WITH {PAPERS},{PENDING}
+        SELECT paper_id, CASE WHEN length(abstract) % 2 = 0 THEN {_strip("left(abstract, 40)")} END AS summary,
+               length(abstract) % 2 = 1 AS failed, CAST(CASE WHEN length(abstract) % 2 = 1 THEN 2 ELSE 1 END AS INTEGER) AS attempts
+        FROM pending""",
     "pending_summaries": f"WITH {PAPERS},{PENDING} SELECT paper_id, abstract, FALSE AS has_summary FROM pending",
     "applied_summaries": f"""WITH {PAPERS},
         newest AS (

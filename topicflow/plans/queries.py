@@ -14,6 +14,7 @@ from topicflow.functions.text import strip_reasoning, topic_lines
 from topicflow.operators import audit, enrich, ingest, network, topics as topic_ops, trends
 from topicflow.operators.answers import (
     answer_prompts,
+    answer_questions,
     contexts,
     retrieve_by_question,
     structured_contexts,
@@ -32,6 +33,7 @@ from topicflow.operators.retrieval import (
 from topicflow.plans import report as reports
 from topicflow.session import shared_dir
 from topicflow.sources import driver_tables as src, papers as collection
+from topicflow.sources.notes import read_note_lines, write_note_lines
 from topicflow.streaming.enrichment import read_results, start_enrichment
 
 TOPICS = (
@@ -149,7 +151,7 @@ def chart_topic_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = trends.paper_texts(src.papers(spark, sf_dir))
-    return network.document_frequencies(network.topic_sets(texts, TOPICS), TOPICS).select("topic", "papers")
+    return network.document_frequencies(network.pair_counts(texts, TOPICS), TOPICS).select("topic", "papers")
 
 
 def topic_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +222,7 @@ def knn_many_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = embed(embeddable(src.papers(spark, sf_dir)))
+    vectors = embed(embeddable(src.papers(spark, sf_dir, summaries=False)))
     return vectors.select("paper_id", F.posexplode("embedding").alias("bucket", "count")).where(F.col("count") > 0).select(
         "paper_id", "bucket", F.col("count").cast("long").alias("count")
     )
@@ -238,7 +240,7 @@ def parsed_questions_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _question_matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Questions, papers, and the papers nearest to each question."""
-    papers, asked = src.papers(spark, sf_dir), src.questions(spark, sf_dir)
+    papers, asked = src.papers(spark, sf_dir, summaries=False), src.questions(spark, sf_dir)
     vectors = embed(embeddable(papers), keep=("year",))
     return asked, papers, retrieve_by_question(asked, vectors)
 
@@ -268,6 +270,71 @@ def question_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_prompts(asked, contexts(matches, papers))
 
 
+def _last_characters():
+    """A model without chance: it answers with the end of its prompt."""
+    return lambda prompts: [p[-60:] for p in prompts]
+
+
+def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = src.papers(spark, sf_dir, summaries=False)
+    vectors = embed(embeddable(papers), keep=("year",))
+    return answer_questions(src.questions(spark, sf_dir), vectors, papers, _last_characters)
+
+
+def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.flatten_notes(src.raw_notes(spark, sf_dir))
+
+
+def stored_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw notes written as JSON lines and read back."""
+    folder = shared_dir(spark, "notes")
+    write_note_lines(src.raw_notes(spark, sf_dir), folder)
+    flat = ingest.flatten_notes(read_note_lines(spark, folder))
+    return flat.withColumn("authors", _joined("authors")).withColumn("keywords", _joined("keywords"))
+
+
+def stored_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned papers written by conference and read back."""
+    folder = shared_dir(spark, "clean")
+    collection.write_clean(ingest.with_required_fields(_flat(spark, sf_dir)), folder)
+    return collection.read_clean(spark, folder).select("conference", "paper_id", "number", "title", "abstract", "venue", "decision")
+
+
+def stored_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collection written by year, read back, and given its late column."""
+    folder = shared_dir(spark, "collection")
+    accepted, _ = ingest.split_rejects(ingest.to_collection(ingest.with_required_fields(_flat(spark, sf_dir))))
+    collection.write_collection(accepted, folder)
+    stored = collection.with_summary_column(collection.read_collection(spark, folder))
+    return stored.select("paper_id", "title", "conference", "venue", "year", _joined("keywords").alias("keywords"), "summary")
+
+
+def rejected_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers whose conference names no year; every tenth document has lost its year here."""
+    flat = _flat(spark, sf_dir).withColumn(
+        "conference", F.when(F.col("number") % 10 == 3, F.substring_index("conference", "_", 1)).otherwise(F.col("conference"))
+    )
+    _, rejects = ingest.split_rejects(ingest.to_collection(flat))
+    return rejects.select("paper_id", "conference", "year")
+
+
+def _refusing():
+    """A model that fails on every text of odd length."""
+
+    def answer(texts):
+        if any(len(t) % 2 for t in texts):
+            raise ValueError("odd length")
+        return [t[:40] for t in texts]
+
+    return answer
+
+
+def enrichment_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run leaves when the model fails on some texts."""
+    pending = enrich.pending_summaries(src.papers(spark, sf_dir), _processed(spark, sf_dir))
+    return enrich.summarise(pending, _refusing, attempts=2).select("paper_id", "summary", F.col("error").isNotNull().alias("failed"), "attempts")
+
+
 def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids treated as already processed: the documents labelled toxic."""
     labels = src.table(spark, sf_dir, "labels").where(F.col("toxic") == 1)
@@ -381,6 +448,6 @@ QUERIES = {
         question_contexts, question_contexts_by_year, question_prompts, pending_summaries, applied_summaries,
         summary_coverage, summary_samples, stripped_reasoning, model_topic_lines, rendered_prompts, prompt_comparison,
         topics_prompt, model_topics, extractive_summary, enrichment_counters, enrichment_incremental, run_statistics, trend_report,
-        report_lines,
+        report_lines, answered_questions, stored_notes, stored_papers, stored_collection, rejected_papers, enrichment_failures,
     )
 }

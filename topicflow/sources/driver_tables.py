@@ -31,8 +31,10 @@ def _venue() -> Column:
     )
 
 
-def _documents(spark: SparkSession, sf_dir: str, *columns: str, years: Sequence[int] | None = None) -> DataFrame:
-    """Documents, of some years or all, with their quality label.
+def _documents(
+    spark: SparkSession, sf_dir: str, *columns: str, years: Sequence[int] | None = None, labelled: bool = True
+) -> DataFrame:
+    """Documents, of some years or all, with their quality label unless it is not asked for.
 
     Which join serves is left to Spark: labels are broadcast while their measured size
     is under the session's threshold and shuffled by doc_id beyond it.
@@ -41,6 +43,8 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str, years: Sequence[
     if years is not None:
         documents = documents.where(year_of(F.col("doc_id")).isin(sorted(set(years))))
     documents = spread(documents, "doc_id")
+    if not labelled:
+        return documents.withColumn("quality", F.lit(None).cast("int"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return documents.join(labels, "doc_id", "left")
 
@@ -56,10 +60,13 @@ def paper_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def papers(spark: SparkSession, sf_dir: str, years: Sequence[int] | None = None) -> DataFrame:
-    """Papers of all years, or of some: the collection itself is laid out by year, these tables are not."""
+def papers(spark: SparkSession, sf_dir: str, years: Sequence[int] | None = None, summaries: bool = True) -> DataFrame:
+    """Papers of all years, or of some: the collection itself is laid out by year, these tables are not.
+
+    Without ``summaries`` that column is null and the labels are not read.
+    """
     text = normalise_nfkc(F.col("text"))
-    documents = _documents(spark, sf_dir, "text", "lang", "source", years=years).withColumn("text", text)
+    documents = _documents(spark, sf_dir, "text", "lang", "source", years=years, labelled=summaries).withColumn("text", text)
     year = year_of(F.col("doc_id"))
     return documents.select(
         F.col("doc_id").cast("string").alias("paper_id"),

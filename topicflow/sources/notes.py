@@ -31,7 +31,7 @@ def read_note_lines(spark: SparkSession, root: str) -> DataFrame:
 
 def write_note_lines(notes: DataFrame, root: str) -> None:
     dealt = notes.hint("rebalance", "conference")
-    dealt.write.mode("overwrite").option("ignoreNullFields", False).partitionBy("conference").json(root)
+    dealt.write.mode("overwrite").option("ignoreNullFields", True).partitionBy("conference").json(root)
 
 
 def notes_from_json(df: DataFrame, json_column: str = "note") -> DataFrame:
