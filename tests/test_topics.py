@@ -90,6 +90,16 @@ def test_model_topics_and_fallback(papers):
     assert T.topic_list(T.extract_topics(texts, 3, failing)) == T.topic_list(T.top_terms(texts, 3))
 
 
+def test_selections_share_their_passes(papers):
+    from topicflow.sources.papers import papers_of_years
+
+    selections = [[2022, 2023, 2024], [2023, 2024, 2024], [2022], [1999]]
+    together = T.terms_of_selections(trends.paper_texts(papers), selections, [5, 9, 4, 3])
+    for years, n, found in zip(selections, [5, 9, 4, 3], together):
+        assert found == T.topic_list(T.top_terms(trends.paper_texts(papers_of_years(papers, years)), n))
+    assert together[3] == [] and together[0]
+
+
 def test_topic_prompts_quote_every_character(spark):
     rows = [(f"{i:03d}", "word" * (30 * i)) for i in range(50)] + [("null", None), ("long", "x" * 9000)]
     frame = spark.createDataFrame(rows, "paper_id STRING, body STRING")

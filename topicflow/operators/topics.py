@@ -15,13 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 from math import log
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from topicflow.functions.prompts import TOPIC_TEMPLATE
 from topicflow.functions.text import STOP_WORDS, neighbours, only_words, tokens, topic_lines
@@ -87,13 +88,7 @@ def fit_vocabulary(
     fetched = max(FREQUENT_WORDS, max_features)
     common = F.col("documents") >= min_documents
     singles = _most_frequent(_counts(words, "words").where(common), fetched)
-    allowed = None
-    if len(singles) < fetched:
-        allowed = frozenset(t for t, _, _ in singles)
-    if len(singles) >= max_features:
-        cut = singles[max_features - 1][1]
-        if len(singles) < fetched or singles[-1][1] < cut:
-            allowed = frozenset(t for t, n, _ in singles if n >= cut)
+    allowed = _allowed(singles, fetched, max_features)
     pairs = _most_frequent(_counts(_pairs(words, allowed), "pairs").where(common), max_features)
     terms = sorted(singles + pairs, key=lambda t: (-t[1], t[0]))[:max_features]
     return Vocabulary(tuple(terms), frozenset(w for t, _, _ in terms for w in t.split(" ")))
@@ -141,6 +136,113 @@ def top_terms(
     )
 
 
+def _selected(selections: Sequence[Sequence[int]]) -> list[Column]:
+    """For each selection of years how often it takes a text: 0, 1, or more if it lists the year again."""
+    out = []
+    for years in selections:
+        weight = F.lit(0)
+        for year in sorted(set(years)):
+            weight = F.when(F.col("year") == year, F.lit(list(years).count(year))).otherwise(weight)
+        out.append(weight.cast("long"))
+    return out
+
+
+def terms_of_selections(
+    texts: DataFrame,
+    selections: Sequence[Sequence[int]],
+    n: Sequence[int],
+    body: str = "body",
+    max_features: int = MAX_FEATURES,
+    min_documents: int = MIN_DOCUMENTS,
+    stop_words: Sequence[str] = STOP_WORDS,
+) -> list[list[str]]:
+    """The first ``n`` terms of several selections of years, as :func:`top_terms` finds them, in three passes in all.
+
+    Words, then pairs, are counted for all selections side by side, and the weighted vectors of all are summed in one
+    aggregation, so the number of passes does not depend on that of the selections.
+    """
+    every, fetched = range(len(selections)), max(FREQUENT_WORDS, max_features)
+    wanted = texts.where(F.col("year").isin(sorted({y for years in selections for y in years})))
+    weights = [w.alias(f"w{s}") for s, w in enumerate(_selected(selections))]
+    words = wanted.select(*weights, tokens(F.coalesce(body, F.lit("")), stop_words).alias("words"))
+    sizes = wanted.groupBy("year").count().collect()
+    texts_of = [sum(r["count"] * list(years).count(r["year"]) for r in sizes) for years in selections]
+
+    listed = words.select(
+        *(f"w{s}" for s in every), F.size("words").alias("size"), F.posexplode(F.concat("words", F.array_distinct("words"))).alias("pos", "term")
+    )
+    repeat = F.col("pos") < F.col("size")
+    counts = listed.groupBy("term").agg(
+        *(F.sum(F.when(repeat, F.col(f"w{s}")).otherwise(0)).alias(f"occurrences{s}") for s in every),
+        *(F.sum(F.when(~repeat, F.col(f"w{s}")).otherwise(0)).alias(f"documents{s}") for s in every),
+    ).persist()
+
+    def most_frequent(rows: DataFrame, s: int, limit: int) -> list[tuple[str, int, int]]:
+        own = rows.select("term", F.col(f"occurrences{s}").alias("occurrences"), F.col(f"documents{s}").alias("documents"))
+        return _most_frequent(own.where(F.col("documents") >= min_documents), limit)
+
+    singles = [most_frequent(counts, s, fetched) for s in every]
+    counts.unpersist()
+    allowed = [_allowed(found, fetched, max_features) for found in singles]
+    frequent = words.select(
+        *(f"w{s}" for s in every),
+        *((F.col("words") if a is None else only_words("words", sorted(a))).alias(f"f{s}") for s, a in enumerate(allowed)),
+    )
+    chosen = [F.when(F.col(f"w{s}") > 0, neighbours(F.col(f"f{s}"))).otherwise(F.array().cast("array<string>")) for s in every]
+    rows = frequent.select(F.inline(F.array(*(F.struct(F.lit(s).alias("s"), F.col(f"w{s}").alias("w"), c.alias("pairs")) for s, c in enumerate(chosen)))))
+    listed = rows.select("s", "w", F.size("pairs").alias("size"), F.posexplode(F.concat("pairs", F.array_distinct("pairs"))).alias("pos", "term"))
+    pairs = listed.groupBy("s", "term").agg(
+        F.sum(F.when(repeat, F.col("w")).otherwise(0)).alias("occurrences"), F.sum(F.when(~repeat, F.col("w")).otherwise(0)).alias("documents")
+    ).where(F.col("documents") >= min_documents).persist()
+    vocabularies = []
+    for s in every:
+        found = _most_frequent(pairs.where(F.col("s") == s), max_features)
+        terms = sorted(singles[s] + found, key=lambda t: (-t[1], t[0]))[:max_features]
+        vocabularies.append(Vocabulary(tuple(terms), frozenset(w for t, _, _ in terms for w in t.split(" "))))
+    pairs.unpersist()
+
+    vectors, filled = words, [s for s in every if vocabularies[s].terms]
+    if not filled:
+        return [[] for _ in every]
+    kept = vectors.select(
+        *(F.col(f"w{s}").cast("double").alias(f"w{s}") for s in filled),
+        *(only_words("words", sorted(vocabularies[s].words)).alias(f"f{s}") for s in filled),
+    )
+    vectors = kept.select(
+        *(f"w{s}" for s in filled), *(F.concat(F.array_compact(f"f{s}"), neighbours(F.col(f"f{s}"))).alias(f"g{s}") for s in filled)
+    )
+    for s in filled:
+        names = [t for t, _, _ in vocabularies[s].terms]
+        vectors = CountVectorizerModel.from_vocabulary(names, inputCol=f"g{s}", outputCol=f"tf{s}").transform(vectors)
+        idf = Vectors.dense(vocabularies[s].idf(texts_of[s]))
+        vectors = ElementwiseProduct(scalingVec=idf, inputCol=f"tf{s}", outputCol=f"weighted{s}").transform(vectors)
+        vectors = Normalizer(p=2.0, inputCol=f"weighted{s}", outputCol=f"unit{s}").transform(vectors)
+    sums = vectors.select(*(Summarizer.sum(F.col(f"unit{s}"), F.col(f"w{s}")).alias(f"total{s}") for s in filled)).first()
+    out: list[list[str]] = [[] for _ in every]
+    for s in filled:
+        scores = sums[f"total{s}"].toArray()
+        scored = sorted((-_rounded(x), t) for x, (t, _, _) in zip(scores, vocabularies[s].terms))
+        out[s] = [t for _, t in scored[: n[s]]]
+    return out
+
+
+def _rounded(score: float) -> Decimal:
+    """Half up at six decimals, as Spark rounds."""
+    return Decimal(repr(float(score))).quantize(Decimal("1e-6"), ROUND_HALF_UP)
+
+
+def _allowed(singles: list[tuple[str, int, int]], fetched: int, max_features: int) -> frozenset[str] | None:
+    """Words whose pairs can get into the vocabulary; None if every word's can."""
+    allowed = None
+    if len(singles) < fetched:
+        allowed = frozenset(t for t, _, _ in singles)
+    if len(singles) >= max_features:
+        cut = singles[max_features - 1][1]
+        if len(singles) < fetched or singles[-1][1] < cut:
+            allowed = frozenset(t for t, count, _ in singles if count >= cut)
+    return allowed
+
+
 def topic_prompts(
     texts: DataFrame,
     n_topics: int,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from topicflow.functions.text import analysis_text, matched_bytes
-from topicflow.operators.topics import TopicFinder, default_finder
+from topicflow.operators.topics import TopicFinder, default_finder, terms_of_selections
 from topicflow.sources.papers import papers_of_years
 
 WIDE_LIMIT = 64
@@ -175,6 +175,17 @@ def growth(frequencies: DataFrame, threshold: float = 0.1) -> DataFrame:
     )
 
 
+def topics_of_selections(
+    papers: DataFrame, selections: Sequence[Sequence[int]], n: Sequence[int], finder: TopicFinder = default_finder
+) -> list[list[str]]:
+    """Topics of several selections of years. The default finder serves them all in the same passes."""
+    if finder is default_finder:
+        found = terms_of_selections(paper_texts(papers), selections, n)
+    else:
+        found = [finder(paper_texts(papers_of_years(papers, years)), size) for years, size in zip(selections, n)]
+    return [distinct_topics(topics) for topics in found]
+
+
 EMERGING_SCHEMA = (
     "rank INT, topic STRING, recent_frequency DOUBLE, comparison_frequency DOUBLE, seen_before BOOLEAN, "
     "total_recent_papers BIGINT, total_comparison_papers BIGINT, growth_rate DOUBLE, is_new BOOLEAN"
@@ -188,10 +199,14 @@ def emerging_topics(
     threshold: float = 0.1,
     n_topics: int = 20,
     finder: TopicFinder = default_finder,
+    topics: tuple[Sequence[str], Sequence[str]] | None = None,
 ) -> DataFrame:
-    """Topics of the recent years that are new or mentioned more often than before."""
-    recent = distinct_topics(finder(paper_texts(papers_of_years(papers, recent_years)), n_topics))
-    before = distinct_topics(finder(paper_texts(papers_of_years(papers, comparison_years)), n_topics))
+    """Topics of the recent years that are new or mentioned more often than before.
+
+    ``topics`` gives those of both periods where they are known already.
+    """
+    selections = (recent_years, comparison_years)
+    recent, before = topics or topics_of_selections(papers, selections, (n_topics, n_topics), finder)
     if not recent:
         return papers.sparkSession.createDataFrame([], EMERGING_SCHEMA)
     return growth(period_frequencies(papers, recent, before, recent_years, comparison_years), threshold)

@@ -12,9 +12,9 @@ from topicflow.operators.topics import TopicFinder, default_finder
 from topicflow.operators.trends import (
     distinct_topics,
     emerging_topics,
-    paper_texts,
     papers_per_year,
     status_label,
+    topics_of_selections,
     track_topic_trends,
 )
 
@@ -48,9 +48,10 @@ def trend_report(
 ) -> TrendReport:
     """Trends of the key topics, emerging topics of the last against the first two years, and
     the topic network of the last year. For ranges under four years the two periods overlap."""
-    in_range = papers.where(F.col("year").between(first_year, last_year))
-    topics = distinct_topics(key_topics or finder(paper_texts(in_range), 15))
     recent, before = [last_year - 1, last_year], [first_year, first_year + 1]
+    selections = [list(range(first_year, last_year + 1)), recent, before, [last_year]]
+    found, *of_periods, of_last = topics_of_selections(papers, selections, (15, 20, 20, 30), finder)
+    topics = distinct_topics(key_topics) if key_topics else found
     listed = papers.sparkSession.createDataFrame(list(enumerate(topics, 1)), "rank INT, topic STRING")
     return TrendReport(
         first_year,
@@ -58,8 +59,8 @@ def trend_report(
         listed,
         papers_per_year(papers, first_year, last_year),
         track_topic_trends(papers, topics, first_year, last_year),
-        emerging_topics(papers, recent, before, finder=finder),
-        topic_network(papers, last_year, finder=finder),
+        emerging_topics(papers, recent, before, topics=tuple(of_periods)),
+        topic_network(papers, last_year, topics=of_last),
         tuple(sorted(set(recent) & set(before))),
     )
 
