@@ -352,6 +352,13 @@ def test_tree_finds_every_close_pair():
     assert not list(jaccard.SignatureTree(sizes, bits, linked).pairs())
 
 
+def test_pairs_are_reported_under_one_ngram():
+    lists = np.stack([np.frombuffer(jaccard.first_of(np.array(t, np.uint64)), np.uint64) for t in ([9, 3, 5], [5, 4, 9], [1], range(20))])
+    x, y = lists[[0, 0, 0, 1]], lists[[1, 2, 3, 3]]
+    assert jaccard.met_elsewhere(5, x, y).tolist() == [False, False, True, True]
+    assert jaccard.met_elsewhere(3, x, y).tolist() == [True, False, False, True]
+
+
 def test_sketches_drop_no_similar_pair():
     rng = np.random.default_rng(7)
     for n in (1, 3, 40, 700, 5000):

@@ -172,12 +172,34 @@ def centre_of(sizes: np.ndarray, bits: np.ndarray) -> int:
     return int(np.argmin((each != most).sum(axis=1)))
 
 
-POSTINGS = "kind STRING, token LONG, doc_id LONG, n LONG, bits BINARY"
-_POSTINGS_NAMES = ["kind", "token", "doc_id", "n", "bits"]
-_POSTINGS_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+POSTINGS = "kind STRING, token LONG, doc_id LONG, n LONG, bits BINARY, first BINARY"
+_POSTINGS_NAMES = ["kind", "token", "doc_id", "n", "bits", "first"]
+_POSTINGS_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+#: How many of a document's posted n-grams go with each of its postings, and what fills a shorter list.
+FIRST, _NONE = 6, np.uint64((1 << 64) - 1)
 PAIRS = "a LONG, b LONG"
 
 
+def first_of(tokens: np.ndarray) -> bytes:
+    """The smallest posted n-grams of a document, always as many."""
+    return np.concatenate([np.sort(tokens)[:FIRST], np.full(max(0, FIRST - len(tokens)), _NONE)]).astype(np.uint64).tobytes()
+
+
+def met_elsewhere(token: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs meet under another n-gram as well that is the one to report them.
+
+    That is the smallest that both lists hold. Pairs whose lists hold none in common are reported
+    wherever they meet, so none is lost; copies nearly always have one.
+    """
+    out = np.empty(len(x), bool)
+    for s in range(0, len(x), 1 << 14):
+        a, b = x[s : s + (1 << 14)], y[s : s + (1 << 14)]
+        held = (a[:, :, None] == b[:, None, :]).any(axis=2)
+        least = np.where(held, a, _NONE).min(axis=1)
+        out[s : s + (1 << 14)] = (least != _NONE) & (least != np.uint64(token))
+    return out
+
+
 def _frame(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
@@ -252,10 +274,10 @@ def _postings(layout: blocks.Layout, chosen: DataFrame, gram: int, percent: int,
             # without enough rare n-grams in reserve the whole set is looked up, which holds any prefix
             tokens = first[rare[:need]][shared[at[rare[:need]]]] if len(rare) >= need else grams
             if len(tokens):
-                signature = bitmap(grams)
-                rows += [("token", t, doc_id, len(grams), signature) for t in tokens.view(np.int64).tolist()]
-                rows.append(("set", None, doc_id, len(grams), grams.tobytes()))
-                rows.append(("sketch", None, doc_id, len(grams), sketch(grams)))
+                signature, smallest = bitmap(grams), first_of(tokens)
+                rows += [("token", t, doc_id, len(grams), signature, smallest) for t in tokens.view(np.int64).tolist()]
+                rows.append(("set", None, doc_id, len(grams), grams.tobytes(), None))
+                rows.append(("sketch", None, doc_id, len(grams), sketch(grams), None))
         return _frame(rows, _POSTINGS_NAMES, _POSTINGS_KINDS)
 
     keys = blocks.ask(layout, wanted, look_up, blocks.KEYS)
@@ -272,18 +294,19 @@ def _candidates(postings: DataFrame, n_parts: int, percent: int, stars: bool) ->
         sizes, linked = table["n"].to_numpy()[order], table["linked"].to_numpy()[order]
         signatures = table["bits"].combine_chunks()
         bits = np.frombuffer(b"".join(signatures.take(pa.array(order)).to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+        firsts = np.frombuffer(b"".join(table["first"].combine_chunks().take(pa.array(order)).to_pylist()), np.uint64).reshape(-1, FIRST)
         begins = np.flatnonzero(np.diff(token, prepend=token[:1] - 1))
         ends = np.append(begins[1:], len(token))
         found_a, found_b, seen = [], [], set()
         for s, e in zip(begins.tolist(), ends.tolist()):
             if e - s < 2 or (linked[s:e] == linked[s]).all():
                 continue
-            members = docs[s:e].tobytes()
-            if members in seen:  # the same documents under another n-gram
-                continue
-            seen.add(members)
             n, b, c, d = sizes[s:e], bits[s:e], linked[s:e], docs[s:e]
             if stars:
+                members = d.tobytes()
+                if members in seen:  # the same documents under another n-gram
+                    continue
+                seen.add(members)
                 at = centre_of(n, b)
                 tree = SignatureTree(n, b, c)
                 others = np.arange(e - s)
@@ -293,9 +316,11 @@ def _candidates(postings: DataFrame, n_parts: int, percent: int, stars: bool) ->
             else:
                 near = np.lexsort((n, c))
                 tree = SignatureTree(n[near], b[near], c[near])
+                own = firsts[s:e][near]
                 for i, j in tree.pairs(percent):
-                    found_a.append(d[near[i]])
-                    found_b.append(d[near[j]])
+                    here = ~met_elsewhere(int(token[s]) % (1 << 64), own[i], own[j])
+                    found_a.append(d[near[i[here]]])
+                    found_b.append(d[near[j[here]]])
         a = np.concatenate(found_a or [np.zeros(0, np.int64)])
         b = np.concatenate(found_b or [np.zeros(0, np.int64)])
         if not stars:
