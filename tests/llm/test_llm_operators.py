@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from topicflow.llm import (
-    components, decontaminate, jaccard, language, mixing, quality, repeats, suffixes, token_counts, url_rules, warc,
+    blocks, components, decontaminate, jaccard, language, mixing, quality, repeats, suffixes, token_counts, url_rules, warc,
 )
 from topicflow.llm.common import window_hashes, word_bounds, word_hashes
 
@@ -314,6 +314,43 @@ def test_jaccard(spark, tmp_path, options):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == expected
 
 
+@pytest.mark.parametrize("options", [{"group": 5}, {"group": 5, "block_bytes": 4000, "hot_blocks": 0}, {"group": 2, "block_bytes": 4000, "hot_blocks": 1}])
+def test_jaccard_of_groups_over_several_tasks(spark, tmp_path, options):
+    texts = near_copies(random.Random(12))
+    found = jaccard.similar_documents(frame(spark, texts, 3, 2), f"file://{tmp_path}/j", **options)
+    expected = jaccard.brute_force([(3 + 2 * i, t) for i, t in enumerate(texts)])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == expected
+    assert spark.read.parquet(f"file://{tmp_path}/j/wide").count() > 0
+
+
+@pytest.mark.parametrize("hot_blocks", [None, 0, 1, 1000])
+def test_no_set_is_posted_whole(spark, hot_blocks):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(204)]
+    rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(20)] + [(99, " ".join(rng.sample(base, 200)))]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    layout = blocks.lay_out(docs, 4000)
+    posted = jaccard._postings(layout, layout.docs.select("doc_id", "block"), 5, 80, hot_blocks)
+    counts = {r.doc_id: r["count"] for r in posted.where("kind = 'token'").groupBy("doc_id").count().collect()}
+    most = jaccard.reserve_length(200) - jaccard.least_common(200) + 1
+    assert len(counts) >= 20 and max(counts.values()) <= most < 60
+
+
+def test_tiles_hold_every_open_pair_once_and_no_large_group(spark):
+    rows = [(7, i, 5 if i < 600 else i) for i in range(700)] + [(8, i, 1) for i in range(300)] + [(9, i, i) for i in range(10)]
+    labelled = spark.createDataFrame(rows, "token LONG, doc_id LONG, linked LONG")
+    tiles = jaccard._tiles(labelled, jaccard.wide_tokens(labelled, 64), 64).collect()
+    assert {r.token for r in tiles} == {7}
+    held = {}
+    for r in tiles:
+        held.setdefault((r.low, r.high), []).append(r)
+    assert max(map(len, held.values())) <= 4 * 64
+    pairs = [tuple(sorted((x.doc_id, y.doc_id))) for (low, high), t in held.items() for k, x in enumerate(t) for y in t[:k] if low == high or x.side != y.side]
+    assert len(pairs) == len(set(pairs))
+    assert {p for p in pairs if p[1] >= 600} == {(i, j) for j in range(600, 700) for i in range(j)}
+    assert not [p for p in pairs if p[1] < 600]
+
+
 def test_jaccard_edges(spark, tmp_path):
     assert jaccard.similar_documents(empty(spark), f"file://{tmp_path}/e").count() == 0
     rows = spark.createDataFrame([(2, "a b c"), (2, "a b c"), (None, "A B C"), (None, "z"), (7, None)], "doc_id LONG, text STRING")

@@ -27,11 +27,12 @@ ANSWERS = "block INT, phase INT, part INT, bits BINARY"
 
 @dataclass(frozen=True)
 class Layout:
-    """Documents with the column ``block``, and the number of key ranges."""
+    """Documents with the column ``block``, and the numbers of key ranges and blocks."""
 
     docs: DataFrame
     block: str
     n_parts: int
+    n_blocks: int
 
 
 def lay_out(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> Layout:
@@ -42,7 +43,7 @@ def lay_out(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_bytes: int = P
     while name in docs.columns:
         name += "_"
     dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
-    return Layout(docs.withColumn(name, dealt), name, max(1, math.ceil(total / part_bytes)))
+    return Layout(docs.withColumn(name, dealt), name, max(1, math.ceil(total / part_bytes)), n_blocks)
 
 
 def parts_of(keys: np.ndarray, n_parts: int) -> np.ndarray:

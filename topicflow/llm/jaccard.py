@@ -6,6 +6,8 @@ documents: its nodes hold the OR of their members' token bitmaps, the range of s
 number of bits. Pairs of nodes are descended together and dropped once the largest overlap that
 bitmaps and sizes allow is too small, or all their members are linked already. What is left is verified on
 the sets. Groups of near copies are linked through one central member first, so their pairs are never listed.
+Large groups are dealt to several tasks: every member meets the centre where it lies, then parts of the group meet in pairs,
+except where all members are linked already.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from topicflow.llm.components import connected_components
 
 GRAM, PERCENT = 5, 80
 BITMAP_WORDS, FANOUT = 8, 8
-#: Blocks that must hold an n-gram before it is moved to the end of the order of n-grams.
-HOT_BLOCKS = 512
+#: Share of the blocks above which an n-gram is moved to the end of the order of n-grams.
+HOT_SHARE = 0.25
+#: Documents of an n-gram that one task holds; larger groups are dealt to several.
+GROUP = 512
 #: Prefixes are looked up by so much more than their own length, to have rare n-grams in reserve.
 RESERVE = 1.5
 #: Node pairs that are held at once.
@@ -114,9 +118,11 @@ def _count_bits(x: np.ndarray) -> np.ndarray:
 class SignatureTree:
     """Levels of nodes over sets, leaves first; the last level has one node."""
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray, linked: np.ndarray) -> None:
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, linked: np.ndarray, sides: np.ndarray | None = None) -> None:
+        """With ``sides``, only sets of unlike sides are paired."""
         count = _count_bits(bits)
-        level = {"small": sizes, "large": sizes, "bits": bits, "count": count, "from": linked, "to": linked}
+        sides = np.arange(len(sizes)) if sides is None else sides
+        level = {"small": sizes, "large": sizes, "bits": bits, "count": count, "from": linked, "to": linked, "left": sides, "right": sides}
         self.levels = [level]
         while len(level["small"]) > 1:
             at = np.arange(0, len(level["small"]), FANOUT)
@@ -127,6 +133,8 @@ class SignatureTree:
                 "count": np.minimum.reduceat(level["count"], at),
                 "from": np.minimum.reduceat(level["from"], at),
                 "to": np.maximum.reduceat(level["to"], at),
+                "left": np.minimum.reduceat(level["left"], at),
+                "right": np.maximum.reduceat(level["right"], at),
             }
             self.levels.append(level)
 
@@ -134,6 +142,7 @@ class SignatureTree:
         """Which node pairs may hold two sets that are similar and not linked yet."""
         t = self.levels[depth]
         apart = (t["from"][i] != t["from"][j]) | (t["from"][i] != t["to"][i]) | (t["from"][j] != t["to"][j])
+        apart &= (t["left"][i] != t["left"][j]) | (t["left"][i] != t["right"][i]) | (t["left"][j] != t["right"][j])
         fits = (percent * t["small"][i] <= 100 * t["large"][j]) & (percent * t["small"][j] <= 100 * t["large"][i])
         common = _count_bits(t["bits"][i] & t["bits"][j])
         most = np.minimum(
@@ -223,11 +232,13 @@ def set_classes(docs: DataFrame, layout: blocks.Layout, gram: int) -> DataFrame:
     return layout.docs.select("doc_id", "text", name).mapInArrow(digests, "doc_id LONG, block INT, n LONG, low LONG, high LONG")
 
 
-def _postings(layout: blocks.Layout, chosen: DataFrame, gram: int, percent: int, hot_blocks: int) -> DataFrame:
+def _postings(layout: blocks.Layout, chosen: DataFrame, gram: int, percent: int, hot_blocks: int | None) -> DataFrame:
     """Prefix n-grams that several sets share, with size and bitmap, and the sets of those documents.
 
-    ``chosen`` (doc_id, block) names the one document of each distinct set.
+    ``chosen`` (doc_id, block) names the one document of each distinct set. N-grams in more than
+    ``hot_blocks`` blocks, or else ``HOT_SHARE`` of them, are the last to be posted.
     """
+    hot_blocks = int(HOT_SHARE * layout.n_blocks) if hot_blocks is None else hot_blocks
     n_parts = layout.n_parts
     wanted = chosen.select("block", F.lit(0).alias("phase"), F.lit(0).alias("part"), F.col("doc_id").alias("id"), F.lit(None).cast("binary").alias("bits"))
 
@@ -267,12 +278,11 @@ def _postings(layout: blocks.Layout, chosen: DataFrame, gram: int, percent: int,
         for doc_id, grams in sets:
             first = reserve(grams)
             at = np.searchsorted(keys, first)
-            if shared[at].sum() < least_common(len(grams), percent):
-                continue
-            rare = np.flatnonzero(~hot[at])
-            need = prefix_length(len(grams), percent)
-            # without enough rare n-grams in reserve the whole set is looked up, which holds any prefix
-            tokens = first[rare[:need]][shared[at[rare[:need]]]] if len(rare) >= need else grams
+            # similar sets have so many n-grams of their reserves in common that all but one of these may be left
+            # out at the end of an order that all sets share: the hot ones, then those with large fingerprints
+            left_out = least_common(len(grams), percent) - 1
+            common = first[shared[at]]
+            tokens = common[np.argsort(hot[at][shared[at]], kind="stable")][: max(0, len(common) - left_out)]
             if len(tokens):
                 signature, smallest = bitmap(grams), first_of(tokens)
                 rows += [("token", t, doc_id, len(grams), signature, smallest) for t in tokens.view(np.int64).tolist()]
@@ -285,17 +295,83 @@ def _postings(layout: blocks.Layout, chosen: DataFrame, gram: int, percent: int,
     return blocks.ask(layout, wanted.unionByName(replies), emit, POSTINGS)
 
 
-def _candidates(postings: DataFrame, n_parts: int, percent: int, stars: bool) -> DataFrame:
-    """Pairs that may be similar and have different ``linked``; with ``stars`` only those with their groups' centres."""
+def _bits(column: pa.ChunkedArray | pa.Array, width: int = BITMAP_WORDS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, width)
+
+
+def wide_tokens(postings: DataFrame, group: int) -> DataFrame:
+    """``token, held`` of the n-grams that more than ``group`` documents post."""
+    return postings.groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > group)
+
+
+def _wide_stars(postings: DataFrame, wide: DataFrame, percent: int, group: int) -> DataFrame:
+    """Members of large groups that may be similar to their group's centre; no task holds a group.
+
+    The centre is that of a sample of about ``group`` members, the same ones wherever the same documents meet.
+    """
+    own = postings.join(wide, "token")
+
+    def centre(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["doc_id"].to_numpy())
+        at = int(order[centre_of(table["n"].to_numpy()[order], _bits(table["bits"])[order])])
+        return table.slice(at, 1).select(["token", "doc_id", "n", "bits"]).rename_columns(["token", "b", "n_b", "bits_b"])
+
+    sampled = own.where(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("held") / F.lit(group))) == 0)
+    centres = sampled.groupBy("token").applyInArrow(centre, "token LONG, b LONG, n_b LONG, bits_b BINARY")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sizes = np.concatenate([batch.column(c).to_numpy() for c in ("n", "n_b")])
+                bits = np.concatenate([_bits(batch.column(c)) for c in ("bits", "bits_b")])
+                at = np.arange(batch.num_rows)
+                ok = SignatureTree(sizes, bits, np.arange(len(sizes))).possible(0, at, at + len(at), percent)
+                yield batch.select(["doc_id", "b"]).rename_columns(["a", "b"]).filter(pa.array(ok))
+
+    met = own.join(centres, "token").where("doc_id != b")
+    return met.select("doc_id", "n", "bits", "b", "n_b", "bits_b").mapInArrow(near, PAIRS)
+
+
+def _tiles(labelled: DataFrame, wide: DataFrame, group: int) -> DataFrame:
+    """Large groups as tiles of two parts of about ``group`` members each: ``low, high, side`` next to the postings.
+
+    Members of the largest component make parts of their own, which need not meet each other; if
+    there are no others, the group is done. All other pairs of members meet in one tile.
+    """
+    own = labelled.join(wide.select("token"), "token")
+    kinds = own.groupBy("token", "linked").agg(F.count("*").alias("k"))
+    shape = kinds.groupBy("token").agg(
+        F.max_by("linked", F.struct("k", -F.col("linked"))).alias("main"),
+        F.ceil(F.max("k") / F.lit(group)).alias("mains"),
+        F.ceil((F.sum("k") - F.max("k")) / F.lit(group)).alias("others"),
+    )
+    dealt = own.join(shape.where("others > 0"), "token")
+    is_main, spread = F.col("linked") == F.col("main"), F.xxhash64("doc_id")
+    part = F.when(is_main, F.pmod(spread, F.col("mains"))).otherwise(F.col("mains") + F.pmod(spread, F.greatest("others", F.lit(1))))
+    facing = F.sequence(F.when(is_main, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)
+    met = dealt.withColumn("own_part", part).withColumn("facing", F.explode(facing))
+    return met.select(
+        *labelled.columns, F.least("own_part", "facing").alias("low"), F.greatest("own_part", "facing").alias("high"),
+        (F.col("own_part") > F.col("facing")).cast("int").alias("side"),
+    )
+
+
+def _candidates(postings: DataFrame, wide: DataFrame, n_parts: int, percent: int, group: int, stars: bool) -> DataFrame:
+    """Pairs that may be similar and have different ``linked``; with ``stars`` only those with their groups' centres.
+
+    ``wide`` has the n-grams whose groups are too large for one task.
+    """
 
     def groups(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table["doc_id"].to_numpy(), table["token"].to_numpy()))
-        token, docs = table["token"].to_numpy()[order], table["doc_id"].to_numpy()[order]
+        places = [table[c].to_numpy() for c in ("token", "low", "high")]
+        order = np.lexsort((table["doc_id"].to_numpy(), *places[::-1]))
+        token, low, high = (c[order] for c in places)
+        docs, side = table["doc_id"].to_numpy()[order], table["side"].to_numpy()[order]
         sizes, linked = table["n"].to_numpy()[order], table["linked"].to_numpy()[order]
-        signatures = table["bits"].combine_chunks()
-        bits = np.frombuffer(b"".join(signatures.take(pa.array(order)).to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
-        firsts = np.frombuffer(b"".join(table["first"].combine_chunks().take(pa.array(order)).to_pylist()), np.uint64).reshape(-1, FIRST)
-        begins = np.flatnonzero(np.diff(token, prepend=token[:1] - 1))
+        bits, firsts = _bits(table["bits"])[order], _bits(table["first"], FIRST)[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        begins = np.flatnonzero(new)
         ends = np.append(begins[1:], len(token))
         found_a, found_b, seen = [], [], set()
         for s, e in zip(begins.tolist(), ends.tolist()):
@@ -314,8 +390,8 @@ def _candidates(postings: DataFrame, n_parts: int, percent: int, stars: bool) ->
                 found_a.append(d[others[ok]])
                 found_b.append(np.full(int(ok.sum()), d[at]))
             else:
-                near = np.lexsort((n, c))
-                tree = SignatureTree(n[near], b[near], c[near])
+                near = np.lexsort((n, c, side[s:e]))
+                tree = SignatureTree(n[near], b[near], c[near], None if low[s] == high[s] else side[s:e][near])
                 own = firsts[s:e][near]
                 for i, j in tree.pairs(percent):
                     here = ~met_elsewhere(int(token[s]) % (1 << 64), own[i], own[j])
@@ -328,12 +404,15 @@ def _candidates(postings: DataFrame, n_parts: int, percent: int, stars: bool) ->
             a, b = pairs[:, 0], pairs[:, 1]
         return pa.Table.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    part = F.pmod(F.xxhash64("token"), F.lit(n_parts)).cast("int")
-    found = postings.withColumn("part", part).groupBy("part").applyInArrow(groups, PAIRS)
+    whole = {"low": F.lit(0).cast("long"), "high": F.lit(0).cast("long"), "side": F.lit(0)}
+    narrow = postings.join(wide, "token", "left_anti").withColumns(whole)
+    found = narrow.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(n_parts))).groupBy("part").applyInArrow(groups, PAIRS)
     if not stars:
-        return found.distinct()
+        tiles = _tiles(postings, wide, group)
+        tiled = tiles.withColumn("part", F.xxhash64("token", "low", "high")).groupBy("part").applyInArrow(groups, PAIRS)
+        return found.unionByName(tiled).distinct()
     # of the centres that a document met, the one it met under most n-grams
-    counted = found.groupBy("a", "b").agg(F.count("*").alias("met"))
+    counted = found.unionByName(_wide_stars(postings, wide, percent, group)).groupBy("a", "b").agg(F.count("*").alias("met"))
     return counted.groupBy("a").agg(F.max_by("b", F.struct("met", -F.col("b"))).alias("b"))
 
 
@@ -370,8 +449,9 @@ def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: in
 
 
 def similar_documents(
-    docs: DataFrame, folder: str, gram: int = GRAM, percent: int = PERCENT, hot_blocks: int = HOT_BLOCKS, block_bytes: int = blocks.BLOCK_BYTES
-) -> DataFrame:
+    docs: DataFrame, folder: str, gram: int = GRAM, percent: int = PERCENT, hot_blocks: int | None = None, block_bytes: int = blocks.BLOCK_BYTES,
+    group: int = GROUP,
+) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
     Documents are linked if their n-gram sets have a Jaccard similarity of at least ``percent`` %;
@@ -393,14 +473,17 @@ def similar_documents(
     tokens = stored.where("kind = 'token'").drop("kind")
     sketches, sets = (stored.where(F.col("kind") == kind).select("doc_id", "n", "bits") for kind in ("sketch", "set"))
 
+    wide_tokens(tokens, group).write.parquet(f"{folder}/wide")
+    wide = spark.read.schema("token LONG, held LONG").parquet(f"{folder}/wide")
+
     alone = tokens.withColumn("linked", F.col("doc_id"))
-    verified(_candidates(alone, layout.n_parts, percent, True), sketches, sets, percent).write.parquet(f"{folder}/links/turn=0")
+    verified(_candidates(alone, wide, layout.n_parts, percent, group, True), sketches, sets, percent).write.parquet(f"{folder}/links/turn=0")
     links = spark.read.schema(PAIRS).parquet(f"{folder}/links/turn=0")
     known = connected_components(links, f"{folder}/first")
     labelled = tokens.join(known, tokens["doc_id"] == known["vertex"], "left").select(
         *tokens.columns, F.coalesce("component", "doc_id").alias("linked")
     )
-    verified(_candidates(labelled, layout.n_parts, percent, False), sketches, sets, percent).write.parquet(f"{folder}/links/turn=1")
+    verified(_candidates(labelled, wide, layout.n_parts, percent, group, False), sketches, sets, percent).write.parquet(f"{folder}/links/turn=1")
     links = spark.read.schema(PAIRS).parquet(f"{folder}/links/turn=0", f"{folder}/links/turn=1")
     components = connected_components(links, f"{folder}/last")
 
