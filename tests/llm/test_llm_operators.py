@@ -466,6 +466,18 @@ def test_leaks_recall_and_exactness(spark):
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in docs} - {i for i, _ in got} and "bits" in clean.columns
 
 
+def test_leaks_of_short_items_and_scripts_without_spaces(spark):
+    chinese = "今天天气很好我们一起去公园散步"
+    items = [(1, "Paris"), (2, "two short words here"), (3, chinese), (4, "he said “stop” — then left the room")]
+    docs = [
+        (1, "We saw PARIS, then left."), (2, "a two-short words here!"), (3, "two short words there"), (4, "前言:" + chinese + "。后记"),
+        (5, chinese[:6] + "真" + chinese[7:]), (6, 'he said "stop" - then left the room'), (7, "nothing"), (8, "parisian"), (9, "昨天下雨"),
+    ]
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id LONG, text STRING"), spark.createDataFrame(items, "item_id LONG, text STRING"))
+    got = {(r.doc_id, r.item_id): r.distance for r in found.collect()}
+    assert got == {(1, 1): 0, (2, 2): 0, (4, 3): 0, (5, 3): 1, (6, 4): 0} == decontaminate.brute_force(docs, items)
+
+
 def test_leaks_of_nothing(spark):
     docs, none = frame(spark, ["a b c d e f"]), spark.createDataFrame([], "item_id LONG, text STRING")
     assert decontaminate.find_leaks(docs, none).count() == 0 and decontaminate.without_leaks(docs, none).count() == 1

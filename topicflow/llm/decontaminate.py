@@ -12,6 +12,7 @@ loses no window that could pass the check.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,14 +22,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from topicflow.llm.common import BASES, bytes_total, mix, slices, window_hashes, word_hashes
 
-#: Share of an item's words that may be edited, and the fewest words an item must have.
-EDITS, LEAST_WORDS = 0.2, 5
+#: Share of an item's words that may be edited; items too short for an edit are looked for exactly.
+EDITS = 0.2
 RECALL, SAMPLED, MOST_WALKS = 0.98, 2, 96
 STRETCH = 3
 #: Bytes of items that one pass over the documents looks for; larger benchmarks take several passes.
 ITEM_BYTES = 4 << 20
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Characters of scripts without spaces between words: Thai, Lao, Myanmar, Khmer, Japanese and Chinese.
+_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+#: Spaces, quotes, dashes and other punctuation outside ASCII.
+_MARKS = re.compile("[\u00a0\u00a1\u00ab\u00b7\u00bb\u00bf\u2000-\u206f\u3000-\u3003\u3008-\u301f\u30fb\ufe30-\ufe4f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 MATCHES = "doc_id LONG, item_id LONG, start_word LONG, end_word LONG, distance LONG, item_words LONG"
 
 
@@ -44,7 +49,11 @@ def words_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def folded(text: str | None) -> bytes:
-    return (text or "").lower().encode("utf-8", "surrogatepass")
+    """Lower case; outside ASCII, punctuation parts words, and a character of a script without spaces is a word."""
+    low = (text or "").lower()
+    if not low.isascii():
+        low = _SPACELESS.sub(r" \g<0> ", _MARKS.sub(" ", low))
+    return low.encode("utf-8", "surrogatepass")
 
 
 def embed(windows: np.ndarray, walks: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -106,7 +115,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]], edits: float, recall: float) -> None:
         found = [(i, words_in([folded(t)])[0]) for i, t in items]
-        self.items = [(i, w) for i, w in found if len(w) >= LEAST_WORDS]
+        self.items = [(i, w) for i, w in found if len(w)]
         self.allowed = [int(edits * len(w)) for _, w in self.items]
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for at, ((_, words), e) in enumerate(zip(self.items, self.allowed)):
@@ -236,7 +245,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, reca
 
     ``distance`` is the least word edit distance of the item to any part of the document near a
     meeting, ``start_word`` and ``end_word`` that part. Case and punctuation do not count. Null and
-    wordless texts match nothing, items under ``LEAST_WORDS`` words are not looked for, repeated rows match each
+    wordless texts match nothing, repeated rows match each
     for itself, equal rows of the benchmark count once. Documents are read once per ``ITEM_BYTES`` of items (an
     index that is sent to the tasks is bounded so) and nothing is shuffled. Texts are read whole.
     """
@@ -283,7 +292,7 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str]]
         words = words_in([folded(text)])[0]
         for j, item in items:
             wanted = words_in([folded(item)])[0]
-            if len(wanted) >= LEAST_WORDS and len(words):
+            if len(wanted) and len(words):
                 distance = edits_within(wanted, words)[0]
                 if distance <= int(edits * len(wanted)):
                     out[i, j] = distance
