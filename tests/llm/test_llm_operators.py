@@ -478,6 +478,16 @@ def test_leaks_of_short_items_and_scripts_without_spaces(spark):
     assert got == {(1, 1): 0, (2, 2): 0, (4, 3): 0, (5, 3): 1, (6, 4): 0} == decontaminate.brute_force(docs, items)
 
 
+@pytest.mark.parametrize("size", [1, 5, 12, 30, 59])
+def test_no_walk_gives_unlike_windows_one_key(size):
+    rng = np.random.default_rng(1)
+    index = decontaminate.ItemIndex([(i, " ".join(f"w{x}" for x in rng.integers(0, 10**9, size))) for i in range(20)], 0.2, 0.98)
+    own = index.sizes[size]
+    keys = decontaminate.embed(rng.integers(1, 1 << 62, (2000, size)).astype(np.uint64), own.walks, own.places)
+    assert len(own.walks) < decontaminate.MOST_WALKS
+    assert all(np.unique(keys[:, w], return_counts=True)[1].max() < 200 for w in range(keys.shape[1]))
+
+
 def test_leaks_of_nothing(spark):
     docs, none = frame(spark, ["a b c d e f"]), spark.createDataFrame([], "item_id LONG, text STRING")
     assert decontaminate.find_leaks(docs, none).count() == 0 and decontaminate.without_leaks(docs, none).count() == 1

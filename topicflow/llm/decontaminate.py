@@ -25,7 +25,6 @@ from topicflow.llm.common import BASES, bytes_total, mix, slices, window_hashes,
 #: Share of an item's words that may be edited; items too short for an edit are looked for exactly.
 EDITS = 0.2
 RECALL, SAMPLED, MOST_WALKS = 0.98, 2, 96
-STRETCH = 3
 #: Bytes of items that one pass over the documents looks for; larger benchmarks take several passes.
 ITEM_BYTES = 4 << 20
 _WORD = np.zeros(256, bool)
@@ -56,6 +55,11 @@ def folded(text: str | None) -> bytes:
     return low.encode("utf-8", "surrogatepass")
 
 
+def last_time(size: int) -> int:
+    """Time before which no more than about 1 % of the walks over ``size`` words have come to the end, where all look alike."""
+    return max(size, int(((np.sqrt(2.33**2 + 8 * size) - 2.33) / 2) ** 2))
+
+
 def embed(windows: np.ndarray, walks: np.ndarray, places: np.ndarray) -> np.ndarray:
     """LSH keys (windows × walks) of sequences of one length: sampled places of each walk's embedding.
 
@@ -131,7 +135,7 @@ class ItemIndex:
             own = [at for at, (_, w) in enumerate(self.items) if len(w) == size]
             rng = np.random.default_rng(size)
             walks = rng.integers(0, 1 << 63, MOST_WALKS, dtype=np.uint64)
-            places = np.sort(rng.integers(0, STRETCH * size, (MOST_WALKS, SAMPLED)), axis=1)
+            places = np.sort(rng.integers(0, last_time(size), (MOST_WALKS, SAMPLED)), axis=1)
             n = walks_needed(np.stack([self.items[at][1] for at in own[:20]]), self.allowed[own[0]], walks, places, recall, rng)
             keys = embed(np.stack([self.items[at][1] for at in own]), walks[:n], places[:n])
             order = np.argsort(keys.ravel(), kind="stable")
