@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from topicflow.llm import decontaminate, jaccard, language, mixing, quality, repeats, suffixes, token_counts, url_rules, warc
+from topicflow.llm import decontaminate, jaccard, language, lines, mixing, quality, repeats, suffixes, token_counts, url_rules, warc
 from topicflow.llm.common import table
 from topicflow.session import shared_dir
 
@@ -95,6 +95,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = lines.without_repeated_lines(docs, lines.repeated_lines(docs, shared_dir(spark, "lines")))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -106,4 +112,5 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "op12_line_dedup": op12_line_dedup,
 }
