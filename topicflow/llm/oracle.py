@@ -157,3 +157,59 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGI
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+ORACLE_SQL["op13_merkle_manifest"] = r"""
+WITH RECURSIVE digits AS (
+  SELECT doc_id, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UINTEGER) AS bytes FROM documents
+), crc AS (
+  -- eight shifts a byte, so no table is needed
+  SELECT doc_id, xor(list_reduce(list_concat([4294967295::UINTEGER], list_transform(
+    flatten(list_transform(bytes, lambda b: [b, 256::UINTEGER, 256, 256, 256, 256, 256, 256, 256])), lambda b: b::UINTEGER)),
+    lambda acc, b: (CASE WHEN b < 256 THEN xor(acc, b) WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384::UINTEGER) ELSE acc >> 1 END)::UINTEGER),
+    4294967295::UINTEGER) AS crc
+  FROM digits
+), fields AS (
+  SELECT doc_id, source, crc % 5 = 0 AS tampered,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS body,
+         coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS changed_body
+  FROM documents JOIN crc USING (doc_id)
+), leaves AS (
+  SELECT doc_id, source, sha256(head || body) AS leaf, CASE WHEN tampered THEN sha256(head || changed_body) ELSE sha256(head || body) END AS now,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+  FROM fields
+), nodes(source, level, i, n, h) AS (
+  SELECT source, 0, i, n, leaf FROM leaves
+  UNION ALL
+  SELECT source, level + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY source, level, i // 16
+), subroots AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops(level, i, n, h) AS (
+  SELECT 0, i, n, subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 16
+), runs AS (
+  SELECT false AS top, source, level, i // 16 AS run, list(h ORDER BY i) AS h FROM nodes WHERE n > 1 GROUP BY source, level, i // 16
+  UNION ALL
+  SELECT true, NULL, level, i // 16, list(h ORDER BY i) FROM tops WHERE n > 1 GROUP BY level, i // 16
+), heights AS (
+  SELECT s.source, s.i AS place, s.subroot, (SELECT max(level) FROM nodes m WHERE m.source IS NOT DISTINCT FROM s.source) AS low,
+         (SELECT max(level) FROM tops) AS high
+  FROM subroots s
+), walk(doc_id, source, step, i, node, siblings) AS (
+  SELECT doc_id, source, 0, i, now, '' FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.source, w.step + 1, (CASE WHEN w.step >= t.low THEN CASE WHEN w.step = t.low THEN t.place ELSE w.i END ELSE w.i END) // 16,
+         sha256(array_to_string(r.h[:p.at], '') || w.node || array_to_string(r.h[p.at + 2:], '')),
+         w.siblings || array_to_string(r.h[:p.at], '') || array_to_string(r.h[p.at + 2:], '')
+  FROM walk w JOIN heights t ON t.source IS NOT DISTINCT FROM w.source
+  JOIN LATERAL (SELECT (CASE WHEN w.step = t.low THEN t.place ELSE w.i END) AS pos) q ON true
+  JOIN LATERAL (SELECT (q.pos % 16)::INT AS at) p ON true
+  JOIN runs r ON r.top = (w.step >= t.low) AND (r.top OR r.source IS NOT DISTINCT FROM w.source)
+   AND r.level = (CASE WHEN w.step >= t.low THEN w.step - t.low ELSE w.step END) AND r.run = q.pos // 16
+  WHERE w.step < t.low + t.high
+)
+SELECT l.doc_id, l.leaf, t.subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(w.siblings) AS proof_sha256, w.node AS folded_root,
+       w.node = (SELECT h FROM tops WHERE n = 1) AS verified
+FROM leaves l JOIN heights t ON t.source IS NOT DISTINCT FROM l.source JOIN walk w ON w.doc_id = l.doc_id AND w.step = t.low + t.high
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from topicflow.llm import decontaminate, jaccard, language, lines, mixing, quality, repeats, suffixes, token_counts, url_rules, warc
+from topicflow.llm import decontaminate, jaccard, language, lines, merkle, mixing, quality, repeats, suffixes, token_counts, url_rules, warc
 from topicflow.llm.common import table
 from topicflow.session import shared_dir
 
@@ -101,6 +101,13 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    proved = merkle.manifest(merkle.document_leaves(docs, tampered), shared_dir(spark, "merkle"))
+    return proved.drop("copied").withColumnRenamed("key", "doc_id")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -113,4 +120,5 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
     "op12_line_dedup": op12_line_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
