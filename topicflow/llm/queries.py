@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from topicflow.llm import decontaminate, jaccard, language, lines, merkle, mixing, quality, repeats, suffixes, token_counts, url_rules, warc
+from topicflow.llm import decontaminate, jaccard, language, lines, merkle, mixing, quality, repeats, spelling, suffixes, token_counts, url_rules, warc
 from topicflow.llm.common import table
 from topicflow.session import shared_dir
 
@@ -95,6 +95,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), shared_dir(spark, "spelling"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = lines.without_repeated_lines(docs, lines.repeated_lines(docs, shared_dir(spark, "lines")))
@@ -119,6 +123,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_line_dedup": op12_line_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
