@@ -358,6 +358,22 @@ def test_jaccard_edges(spark, tmp_path):
     assert got == sorted(map(repr, [(2, 1, 2), (2, 1, 2), (None, 1, 2), (None, 1, None), (7, 0, 7)]))
 
 
+@pytest.mark.parametrize("turned", [False, True])
+@pytest.mark.parametrize("block_bytes", [1000, blocks.BLOCK_BYTES])
+def test_one_id_with_unlike_texts(spark, tmp_path, turned, block_bytes):
+    rng = random.Random(3)
+    words = lambda: [f"v{rng.randint(0, 10**6)}" for _ in range(60)]
+    a, b, c = words(), words(), words()
+    near = lambda t: " ".join(t[:-1] + ["end"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a)), (7, near(b)), (9, " ".join(c)), (3, " ".join(c)), (3, "1 2"), (8, "1 2"), (3, None)]
+    docs = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id LONG, text STRING")
+    found = jaccard.similar_documents(docs, f"file://{tmp_path}/s", block_bytes=block_bytes).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(3, 3), (3, 3), (3, 3), (5, 5), (5, 5), (6, 5), (7, 5), (8, 3), (9, 3)]
+    kept = jaccard.first_of_groups(docs, f"file://{tmp_path}/f")
+    texts = docs.withColumn("text_key", F.xxhash64("text")).join(kept, ["doc_id", "text_key"]).collect()
+    assert sorted((r.doc_id, r.text or "") for r in texts) == sorted([(5, " ".join(a)), (5, " ".join(b)), (3, " ".join(c)), (3, "1 2"), (3, "")])
+
+
 def test_prefixes_meet():
     rng = random.Random(5)
     for _ in range(300):

@@ -59,7 +59,7 @@ def test_chains_and_ties(spark, tmp_path):
 
 def test_very_long_texts_and_runs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(spelling, "_HELD", 10)
-    long_run = "abcde" * 60_000
+    long_run = "abcde" * 500
     rows = [(1, f"{long_run} {long_run[:-1]} " * 3 + "words and letters " * 90_000), (2, "lettars " * 5), (3, None)]
     assert run(spark, rows, tmp_path) == spelling.brute_force(rows)
 

@@ -12,7 +12,9 @@ except where all members are linked already.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -213,11 +215,14 @@ def _frame(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
+CLASSES = "doc_id LONG, text_key LONG, block INT, n LONG, low LONG, high LONG"
+
+
 def set_classes(docs: DataFrame, layout: blocks.Layout, gram: int) -> DataFrame:
-    """``doc_id, block, n, low, high`` of every document: the digest of its set and where its text lies."""
+    """``doc_id, text_key, block, n, low, high`` of every document: the digest of its set, and a hash and the place of its text."""
     name = layout.block
-    names = ["doc_id", "block", "n", "low", "high"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "text_key", "block", "n", "low", "high"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,26 +231,32 @@ def set_classes(docs: DataFrame, layout: blocks.Layout, gram: int) -> DataFrame:
                 rows = [(len(s), *set_digest(s)) for s in sets]
                 columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column(name).cast(pa.int32()), *columns], schema=pa.schema(list(zip(names, kinds)))
+                    [part.column("doc_id"), part.column("text_key"), part.column(name).cast(pa.int32()), *columns], schema=pa.schema(list(zip(names, kinds)))
                 )
 
-    return layout.docs.select("doc_id", "text", name).mapInArrow(digests, "doc_id LONG, block INT, n LONG, low LONG, high LONG")
+    return layout.docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text", name).mapInArrow(digests, CLASSES)
 
 
 def _postings(layout: blocks.Layout, chosen: DataFrame, gram: int, percent: int, hot_blocks: int | None) -> DataFrame:
     """Prefix n-grams that several sets share, with size and bitmap, and the sets of those documents.
 
-    ``chosen`` (doc_id, block) names the one document of each distinct set. N-grams in more than
+    ``chosen`` (doc_id, block, low, high, vertex) names the one document of each distinct set, the set's digest and its number among
+    the vertices of the links, which is what postings have as ``doc_id``; without the last three, the ids number the sets. N-grams in more than
     ``hot_blocks`` blocks, or else ``HOT_SHARE`` of them, are the last to be posted.
     """
     hot_blocks = int(HOT_SHARE * layout.n_blocks) if hot_blocks is None else hot_blocks
     n_parts = layout.n_parts
-    wanted = chosen.select("block", F.lit(0).alias("phase"), F.lit(0).alias("part"), F.col("doc_id").alias("id"), F.lit(None).cast("binary").alias("bits"))
+    if "vertex" not in chosen.columns:
+        chosen = chosen.withColumns({"low": F.lit(0).cast("long"), "high": F.lit(0).cast("long"), "vertex": F.col("doc_id")})
+    wanted = chosen.select(
+        "block", F.lit(0).alias("phase"), F.lit(0).alias("part"), F.col("doc_id").alias("id"), F.lit(None).cast("binary").alias("bits"), "low", "high", "vertex"
+    )
 
-    def sets_of(table: pa.Table, ids: set[int]) -> list[tuple[int, np.ndarray]]:
+    def sets_of(table: pa.Table, vertices: dict[int, dict[tuple[int, int], int]]) -> list[tuple[int, np.ndarray]]:
         held: dict[int, np.ndarray] = {}
         docs, texts = table["doc_id"].to_pylist(), texts_as_bytes(table["text"].combine_chunks())
-        picked = [i for i, d in enumerate(docs) if d in ids]
+        rows = Counter(docs)
+        picked = [i for i, d in enumerate(docs) if d in vertices]
         start = 0
         while start < len(picked):
             end, size = start, 0
@@ -254,24 +265,32 @@ def _postings(layout: blocks.Layout, chosen: DataFrame, gram: int, percent: int,
                 end += 1
             for i, grams in zip(picked[start:end], shingle_sets([texts[i] for i in picked[start:end]], gram)):
                 if len(grams):
-                    held.setdefault(docs[i], grams)
+                    own = vertices[docs[i]]
+                    # where an id has several rows, the digest tells which of their sets are meant
+                    vertex = own.get(set_digest(grams)) if rows[docs[i]] > 1 else next(iter(own.values()))
+                    if vertex is not None:
+                        held.setdefault(vertex, grams)
             start = end
         return sorted(held.items())
 
     def reserve(grams: np.ndarray) -> np.ndarray:
         return grams[: reserve_length(len(grams), percent)]
 
-    def ids_of(answers: pa.Table) -> set[int]:
-        return {i for p, i in zip(answers["phase"].to_pylist(), answers["id"].to_pylist()) if p == 0}
+    def vertices_of(answers: pa.Table) -> dict[int, dict[tuple[int, int], int]]:
+        out: dict[int, dict[tuple[int, int], int]] = {}
+        for p, i, low, high, vertex in zip(*(answers[c].to_pylist() for c in ("phase", "id", "low", "high", "vertex"))):
+            if p == 0:
+                out.setdefault(i, {})[low, high] = vertex
+        return out
 
     def look_up(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
-        sets = sets_of(table, ids_of(answers)) if table.num_rows else []
+        sets = sets_of(table, vertices_of(answers)) if table.num_rows else []
         tokens = np.concatenate([reserve(g) for _, g in sets] or [np.zeros(0, np.uint64)])
         keys, counts = np.unique(tokens, return_counts=True)
         return blocks.key_table(blocks.key_rows(block, keys, None, counts > 1, n_parts))
 
     def emit(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
-        sets = sets_of(table, ids_of(answers)) if table.num_rows else []
+        sets = sets_of(table, vertices_of(answers)) if table.num_rows else []
         keys = np.unique(np.concatenate([reserve(g) for _, g in sets] or [np.zeros(0, np.uint64)]))
         shared, hot = blocks.answered(answers, 1, keys, n_parts, 2)
         rows: list[tuple] = []
@@ -291,7 +310,8 @@ def _postings(layout: blocks.Layout, chosen: DataFrame, gram: int, percent: int,
         return _frame(rows, _POSTINGS_NAMES, _POSTINGS_KINDS)
 
     keys = blocks.ask(layout, wanted, look_up, blocks.KEYS)
-    replies = blocks.shared_keys(keys, 1, hot_blocks).withColumn("id", F.lit(None).cast("long"))
+    none = F.lit(None).cast("long")
+    replies = blocks.shared_keys(keys, 1, hot_blocks).withColumns({"id": none, "low": none, "high": none, "vertex": none})
     return blocks.ask(layout, wanted.unionByName(replies), emit, POSTINGS)
 
 
@@ -448,27 +468,28 @@ def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: in
     return _checked(_checked(pairs, sketches, near), sets, similar)
 
 
-def similar_documents(
-    docs: DataFrame, folder: str, gram: int = GRAM, percent: int = PERCENT, hot_blocks: int | None = None, block_bytes: int = blocks.BLOCK_BYTES,
-    group: int = GROUP,
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs``.
+class SimilarSets(NamedTuple):
+    """What the join finds, as tables below its folder."""
 
-    Documents are linked if their n-gram sets have a Jaccard similarity of at least ``percent`` %;
-    ``component_id`` is the least id that links lead to. Sets of texts with fewer words than ``gram`` are their
-    whole sequence; null and wordless texts have none and link with nothing. Rows with equal sets are
-    one class from the start, however many. Rows without an id take their class's component, null
-    if no row of it has one; repeated rows each give a row, and rows of one id are one vertex of the links; other
-    columns are not read. Intermediate tables are
-    written below ``folder``, which all executors must share.
-    """
+    #: every row: doc_id, text_key, n, low, high
+    classes: DataFrame
+    #: every distinct set that some id has: low, high, n, doc_id (the least) and its number ``vertex``
+    chosen: DataFrame
+    #: similar sets: a, b
+    links: DataFrame
+
+
+def similar_sets(docs: DataFrame, folder: str, gram: int, percent: int, hot_blocks: int | None, block_bytes: int, group: int) -> SimilarSets:
+    """Classes of equal sets, and links between those with a similarity of ``percent`` %."""
     spark = docs.sparkSession
     layout = blocks.lay_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block_bytes)
     set_classes(docs, layout, gram).write.parquet(f"{folder}/classes")
-    classes = spark.read.parquet(f"{folder}/classes")
+    classes = spark.read.schema(CLASSES).parquet(f"{folder}/classes")
     least = classes.where("n > 0").groupBy("low", "high", "n").agg(F.min_by(F.struct("doc_id", "block"), "doc_id").alias("first"))
-    chosen = least.where("first.doc_id IS NOT NULL").select("first.*")
-    _postings(layout, chosen, gram, percent, hot_blocks).write.partitionBy("kind").parquet(f"{folder}/postings")
+    numbered = least.where("first.doc_id IS NOT NULL").select("low", "high", "n", "first.*", F.monotonically_increasing_id().alias("vertex"))
+    numbered.write.parquet(f"{folder}/chosen")
+    chosen = spark.read.schema("low LONG, high LONG, n LONG, doc_id LONG, block INT, vertex LONG").parquet(f"{folder}/chosen")
+    _postings(layout, chosen.drop("n"), gram, percent, hot_blocks).write.partitionBy("kind").parquet(f"{folder}/postings")
     stored = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
     tokens = stored.where("kind = 'token'").drop("kind")
     sketches, sets = (stored.where(F.col("kind") == kind).select("doc_id", "n", "bits") for kind in ("sketch", "set"))
@@ -480,22 +501,72 @@ def similar_documents(
     verified(_candidates(alone, wide, layout.n_parts, percent, group, True), sketches, sets, percent).write.parquet(f"{folder}/links/turn=0")
     links = spark.read.schema(PAIRS).parquet(f"{folder}/links/turn=0")
     known = connected_components(links, f"{folder}/first")
-    labelled = tokens.join(known, tokens["doc_id"] == known["vertex"], "left").select(
-        *tokens.columns, F.coalesce("component", "doc_id").alias("linked")
+    # stored, as narrow groups, shapes and tiles of wide ones all read it
+    tokens.join(known, tokens["doc_id"] == known["vertex"], "left").select(*tokens.columns, F.coalesce("component", "doc_id").alias("linked")).write.parquet(
+        f"{folder}/labelled"
     )
+    labelled = spark.read.schema(f"{POSTINGS}, linked LONG").parquet(f"{folder}/labelled").drop("kind")
     verified(_candidates(labelled, wide, layout.n_parts, percent, group, False), sketches, sets, percent).write.parquet(f"{folder}/links/turn=1")
     links = spark.read.schema(PAIRS).parquet(f"{folder}/links/turn=0", f"{folder}/links/turn=1")
-    components = connected_components(links, f"{folder}/last")
+    return SimilarSets(classes.drop("block"), chosen.drop("block"), links)
 
-    named = least.select("low", "high", "n", F.col("first.doc_id").alias("class_id"))
-    joined = named.join(components, named["class_id"] == components["vertex"], "left").select(
-        "low", "high", "n", F.coalesce("component", "class_id").alias("component_id")
-    )
-    return classes.join(joined, ["low", "high", "n"], "left").select(
+
+def _same_id(found: SimilarSets) -> DataFrame:
+    """Links ``a, b`` between the sets of each id that has several."""
+    digest = F.struct("low", "high", "n")
+    named = found.classes.where("n > 0 AND doc_id IS NOT NULL")
+    several = named.groupBy("doc_id").agg(F.min(digest).alias("one"), F.max(digest).alias("other")).where("one != other").select(F.col("doc_id").alias("id"), "one")
+    rows = named.join(several, named["doc_id"] == several["id"]).select("id", "one", "low", "high", "n").distinct()
+    numbers = found.chosen.select("low", "high", "n", "vertex")
+    left = rows.join(numbers, ["low", "high", "n"]).select("id", F.col("vertex").alias("b"), "one.*")
+    return left.join(numbers.withColumnRenamed("vertex", "a"), ["low", "high", "n"]).where("a != b").select("a", "b")
+
+
+def _named(found: SimilarSets, links: DataFrame, folder: str) -> DataFrame:
+    """``low, high, n, doc_id, group``: every distinct set, its least id, and the number of what links lead to."""
+    components = connected_components(links, folder).withColumnRenamed("vertex", "own")
+    joined = found.chosen.join(components, found.chosen["vertex"] == components["own"], "left")
+    return joined.select("low", "high", "n", "doc_id", F.coalesce("component", "vertex").alias("group"))
+
+
+def similar_documents(
+    docs: DataFrame, folder: str, gram: int = GRAM, percent: int = PERCENT, hot_blocks: int | None = None, block_bytes: int = blocks.BLOCK_BYTES,
+    group: int = GROUP,
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs``.
+
+    Documents are linked if their n-gram sets have a Jaccard similarity of at least ``percent`` %;
+    ``component_id`` is the least id that links lead to. Sets of texts with fewer words than ``gram`` are their
+    whole sequence; null and wordless texts have none and link with nothing. Rows with equal sets are
+    one class from the start, however many. Rows without an id take their class's component, null
+    if no row of it has one; repeated rows each give a row, and all sets of one id are linked, in whatever order its rows come; other
+    columns are not read. Intermediate tables are
+    written below ``folder``, which all executors must share.
+    """
+    found = similar_sets(docs, folder, gram, percent, hot_blocks, block_bytes, group)
+    named = _named(found, found.links.unionByName(_same_id(found)), f"{folder}/last")
+    least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    joined = named.drop("doc_id").join(least, "group").drop("group")
+    return found.classes.join(joined, ["low", "high", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+def first_of_groups(docs: DataFrame, folder: str, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, text_key`` of the rows to keep of ``docs`` so that no two are similar; ``text_key`` is the text's ``xxhash64``.
+
+    Of each group of rows that links join, the one with the least id stays, of several texts of that id the one with the least ``text_key``; unlike
+    texts of one id are groups of their own. Rows without a word link with nothing and all stay. Rows without an id are not judged
+    and not returned; repeated rows give one.
+    """
+    found = similar_sets(docs, folder, gram, percent, None, blocks.BLOCK_BYTES, GROUP)
+    named = _named(found, found.links, f"{folder}/last").drop("doc_id")
+    rows = found.classes.where("doc_id IS NOT NULL")
+    grouped = rows.where("n > 0").join(named, ["low", "high", "n"])
+    firsts = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
+    return firsts.unionByName(rows.where("n = 0").select("doc_id", "text_key").distinct())
+
+
 def brute_force(rows: list[tuple[int, str | None]], gram: int = GRAM, percent: int = PERCENT) -> dict[int, tuple[int, int]]:
     """The same by its definition, for small tests."""
     upper = bytes(range(65, 91))
