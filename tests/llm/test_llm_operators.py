@@ -114,9 +114,45 @@ def test_mixing_meets_targets(spark, tmp_path):
     total = sum(r.n_tokens for r in mixed)
     assert abs(sum(r.mix_rate * r.n_tokens * r.p_b for r in mixed) / total - 0.6) < 1e-3
     assert {r.n_tokens for r in mixed if r.doc_id >= 900} == {0}
-    # the same least squares by a plain solver over all rates
-    p = np.array([[r.p_a, r.p_b] for r in mixed]) * np.array([[r.n_tokens] for r in mixed])
-    assert np.allclose(np.array([r.mix_rate for r in mixed]) @ p / total, [0.4, 0.6], atol=1e-3)
+    fit = {r.domain: r for r in spark.read.parquet(f"file://{tmp_path}/m/fit").collect()}
+    assert abs(fit["b"].reached - 0.6) < 1e-3 and (fit["a"].weight, round(fit["a"].target, 6)) == (0.4, 0.4)
+
+
+def plain_least_squares(totals, targets, rounds=30_000):
+    """Distance of nonnegative least squares, by accelerated projected gradients over all rates."""
+    rate = ahead = np.ones(totals.shape[1])
+    step, k = 1 / np.linalg.norm(totals, 2) ** 2, 1.0
+    for _ in range(rounds):
+        now = np.maximum(0, ahead - step * totals.T @ (totals @ ahead - targets))
+        following = (1 + np.sqrt(1 + 4 * k * k)) / 2
+        ahead, rate, k = now + (k - 1) / following * (now - rate), now, following
+    return float(np.linalg.norm(totals @ rate - targets))
+
+
+@pytest.mark.parametrize("sharp, weights", [(1.0, [0.9, 0.05, 0.05]), (0.3, [0.98, 0.02, 0.0]), (4.0, [0.97, 0.03, 0.0]), (1.0, [1, 0, 0]), (2.0, [1, 1, 6])])
+def test_mixing_is_least_squares(spark, sharp, weights):
+    rng = np.random.default_rng(7)
+    p = rng.dirichlet([sharp, 2 * sharp, sharp], 400)
+    rows = [(int(rng.integers(1, 3)), int(rng.integers(0, 500)), *map(float, row)) for row in p]
+    members = spark.createDataFrame(rows, "copies LONG, n_tokens LONG, p0 DOUBLE, p1 DOUBLE, p2 DOUBLE")
+    fit = mixing.fit_rates(members, weights)
+    amount = np.array([r[0] * r[1] for r in rows], float)
+    totals = (p * amount[:, None] / amount.sum()).T
+    rates = np.array([r[0] for r in members.select(mixing.rate_of(fit.pull)).collect()])
+    assert rates.min() >= 0 and np.allclose(totals @ rates, fit.reached)
+    distance = float(np.linalg.norm(totals @ rates - fit.targets))
+    assert distance <= plain_least_squares(totals, fit.targets) + 1e-3
+    if sharp <= 1 or weights == [0.97, 0.03, 0.0]:
+        assert (rates == 0).mean() > 0.1  # the bound matters
+
+
+def test_mixing_keeps_columns_that_clash_and_reads_long_texts(spark, tmp_path):
+    rows = [(1, "apple amber " * 50_000, "a", 3, 4), (2, "birch bread", "b", 5, 6), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, own_id STRING, text_key INT, copies INT")
+    labelled = spark.createDataFrame([("apple amber", "a"), ("birch bread", "b")] * 20, "text STRING, domain STRING")
+    mixed = mixing.mixing_rates(docs, labelled, {"a": 1, "b": 1}, f"file://{tmp_path}/m")
+    assert sorted(map(repr, (tuple(r)[:5] for r in mixed.collect()))) == sorted(map(repr, rows))
+    assert {r.doc_id: r.n_tokens for r in mixed.collect()} == {1: 100_000, 2: 2, None: 0}
 
 
 def test_mixing_without_labels_or_documents(spark, tmp_path):
@@ -548,6 +584,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r.page_id for r in whole.collect() if r.record_type == "revisit"} == {5}
 
 
+def test_warc_headers_of_any_length(spark, tmp_path):
+    rng = random.Random(5)
+    urls = {1: "http://a/" + "x" * 70_000, 2: "http://b/" + "".join(rng.choices("abcdef0123456789", k=100_000)), 3: "http://c/" + "".join(rng.choices("abcdef0123456789", k=1_000_000)), 4: "d"}
+    got = {r.page_id: r for r in archived(spark, [(i, u, f"page {i}") for i, u in urls.items()], f"file://{tmp_path}/w").collect()}
+    assert {i: (r.target_uri, r.payload) for i, r in got.items()} == {i: (u, f"page {i}".encode()) for i, u in urls.items()}
+
+
 def test_warc_splits_and_damage(tmp_path):
     import io
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, with as many underscores behind it as it takes to be no column's."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: str, budget: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold about ``budget`` bytes; a longer text is a part of its own."""
     sizes = np.diff(np.asarray(text_offsets(batch.column(column))))

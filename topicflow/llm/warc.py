@@ -1,7 +1,7 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
 Every record is a gzip member of its own. A reader's task gets a range of bytes, looks for the
-bytes that begin a gzip member, accepts a candidate only if it inflates to a WARC header, and
+bytes that begin a gzip member, accepts a candidate only if it inflates to a WARC header (of any length), and
 owns the records that start within its range, reading beyond the end to finish the last.
 """
 
@@ -18,10 +18,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-MAGIC = b"\x1f\x8b\x08"
+MAGIC, _MARK = b"\x1f\x8b\x08", b"WARC/"
 SPLIT_BYTES = 8 << 20
-#: Inflated bytes within which a candidate must show the end of its WARC header.
-HEADER_BYTES = 64 << 10
 _CHUNK = 1 << 20
 RECORDS = (
     "page_id LONG, target_uri STRING, record_type STRING, payload_digest STRING, payload_bytes LONG, refers_to LONG, "
@@ -135,8 +133,11 @@ class _Window:
 
 
 def _inflate(window: _Window, start: int) -> tuple[bytes, int] | None:
-    """The content of the member at ``start`` in the window and its length there, or None if it is not a WARC record."""
-    press, parts, held, at, checked = zlib.decompressobj(31), [], 0, start, False
+    """The content of the member at ``start`` in the window and its length there, or None if it is not a WARC record.
+
+    A candidate is given up as soon as its first bytes are not a record's; a record's header may be as long as it likes.
+    """
+    press, parts, head, at = zlib.decompressobj(31), [], b"", start
     while not press.eof:
         if at >= len(window.data) and not window.more():
             return None
@@ -146,14 +147,12 @@ def _inflate(window: _Window, start: int) -> tuple[bytes, int] | None:
         except zlib.error:
             return None
         at += len(piece)
-        held += len(parts[-1])
-        if not checked and held >= 5:
-            head = b"".join(parts)[:HEADER_BYTES]
-            if not head.startswith(b"WARC/") or held >= HEADER_BYTES and b"\r\n\r\n" not in head:
+        if len(head) < len(_MARK):
+            head += parts[-1][: len(_MARK) - len(head)]
+            if not _MARK.startswith(head):
                 return None
-            checked = held >= HEADER_BYTES
     content = b"".join(parts)
-    if not content.startswith(b"WARC/") or b"\r\n\r\n" not in content:
+    if not content.startswith(_MARK) or b"\r\n\r\n" not in content:
         return None
     return content, at - len(press.unused_data) - start
 
