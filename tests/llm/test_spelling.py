@@ -41,7 +41,7 @@ def test_variants(spark, tmp_path):
     assert sum(v[0] is not None for v in expected.values()) > 20
 
 
-@pytest.mark.parametrize("options", [{"hosts": 2, "comers": 3, "block_words": 10_000}, {"block_words": 1}])
+@pytest.mark.parametrize("options", [{"tile_words": 2, "block_words": 10_000}, {"tile_words": 7, "block_words": 40}, {"block_words": 1}])
 def test_wide_blocks_are_tiled(spark, tmp_path, options):
     rows = some_rows(2)
     assert run(spark, rows, tmp_path, **options) == spelling.brute_force(rows)
@@ -71,10 +71,26 @@ def test_no_words(spark, tmp_path):
 
 def test_one_edit():
     pairs = [(b"abcde", b"abcde"), (b"abcde", b"abxde"), (b"abcde", b"abcd"), (b"bcde", b"abcde"), (b"abcde", b"bacde"), (b"aab", b"aaab"), (b"abc", b"abcde")]
-    assert spelling.one_edit([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [False, True, True, True, False, True, False]
+    x, y = (spelling.Words.of([p[side] for p in pairs]) for side in (0, 1))
+    at = np.arange(len(pairs))
+    assert spelling.one_edit(x, at, y, at).tolist() == [False, True, True, True, False, True, False]
     assert (spelling.letter_groups(np.ones(90), 10**9) < 16).all()
 
 
+def test_blocks_an_edit_leads_to():
+    group = spelling.letter_groups(np.ones(90), 10**4, 100)
+    into = np.eye(int(group.max()) + 1, dtype=np.int64)[group]
+    block = lambda w: spelling.block_of((spelling.letter_counts(spelling.Words.of([w])) @ into)[0])
+    rng = random.Random(3)
+    for _ in range(300):
+        word = bytes(rng.choices(spelling.LETTERS, k=rng.randint(2, 9)))
+        at = rng.randrange(len(word))
+        for other in (word[:at] + word[at + 1 :], word[:at] + bytes([rng.choice(spelling.LETTERS)]) + word[at + 1 :]):
+            one, two = block(word), block(other)
+            met = (one == two) + list(spelling.neighbours(one)).count(two) + list(spelling.neighbours(two)).count(one)
+            assert met == 1
+
+
 def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
