@@ -323,6 +323,8 @@ prompts AS (
          replace({_quote(TOPIC_TEMPLATE.replace("{n}", "15"))}, '{{texts}}', string_agg(piece, chr(10) ORDER BY key, start)) AS prompt
   FROM placed GROUP BY bucket, chunk)"""
 
+DIGEST = "length(abstract) || ' ' || md5(abstract)"
+
 ORACLE_SQL = {
     "topic_trends": f"""WITH {PAPERS}, keys(rank, topic) AS (VALUES {VALUES_TOPICS}),{_trends("keys")}
         SELECT topic, year, mentions, papers_with_topic, papers, round(CAST(mentions AS DOUBLE) / papers * 100, 6) AS percentage
@@ -480,6 +482,26 @@ ORACLE_SQL = {
     "enrichment_incremental": f"""WITH {PAPERS},
         wanted AS (SELECT * FROM papers WHERE abstract <> ''),{_extract("wanted")}
         SELECT paper_id, summary FROM extracts""",
+    "enrichment_chunks": f"""WITH {PAPERS}
+        SELECT paper_id, {DIGEST} AS summary, 'done' AS status, 1 AS attempts, 0 AS attempt FROM papers WHERE abstract <> ''""",
+    "enrichment_stopped": f"""WITH {PAPERS}
+        SELECT 1 AS run, CAST(0 AS BIGINT) AS processed, CAST(5 AS BIGINT) AS errors, TRUE AS skipped_some, CAST(5 AS BIGINT) AS calls
+        UNION ALL SELECT 2, 0, 1, TRUE, 1
+        UNION ALL SELECT 3, count(*), 0, FALSE, count(*) FROM papers WHERE abstract <> ''""",
+    "enrichment_run_counters": f"""WITH {PAPERS}, counted AS (
+          SELECT count(*) FILTER (WHERE length(abstract) % 7 <> 3) AS processed, count(*) FILTER (WHERE length(abstract) % 7 = 3) AS errors,
+                 count(*) AS calls
+          FROM papers WHERE abstract <> '')
+        SELECT processed, errors, CAST(0 AS BIGINT) AS skipped, calls, processed AS table_processed, errors AS table_errors,
+               CAST(0 AS BIGINT) AS table_skipped
+        FROM counted""",
+    "enrichment_deadlines": f"""WITH {PAPERS},{PENDING}, judged AS (
+          SELECT paper_id, abstract, CASE WHEN length(abstract) % 200 = 7 THEN 'timeout' WHEN length(abstract) % 10 = 3 THEN 'error'
+                                          WHEN length(abstract) % 10 = 5 THEN 'connection' END AS kind
+          FROM pending)
+        SELECT paper_id, CASE WHEN kind IS NULL THEN {DIGEST} END AS summary, CASE WHEN kind IS NULL THEN 'done' ELSE 'failed' END AS status, kind,
+               CAST(CASE WHEN kind = 'connection' THEN 3 ELSE 1 END AS INTEGER) AS attempts
+        FROM judged""",
     "run_statistics": """
         SELECT count(*) AS runs, count(*) FILTER (WHERE role = 'system') AS failed,
                round(sum(s) / count(*), 6) AS mean_seconds, round(CAST(sum(c) AS DOUBLE) / count(*), 6) AS mean_chars,

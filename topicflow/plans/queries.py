@@ -6,6 +6,9 @@ results can be compared by value with SQL.
 
 from __future__ import annotations
 
+import hashlib
+import time
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,6 +22,7 @@ from topicflow.operators.answers import (
     retrieve_by_question,
     structured_contexts,
 )
+from topicflow.operators.calls import CallPolicy, call_model
 from topicflow.operators.embedding import embed, embeddable
 from topicflow.operators.questions import parse_questions
 from topicflow.operators.retrieval import (
@@ -34,6 +38,7 @@ from topicflow.plans import report as reports
 from topicflow.session import shared_dir
 from topicflow.sources import driver_tables as src, papers as collection
 from topicflow.sources.notes import read_note_lines, write_note_lines
+from topicflow.streaming.chunks import land_papers, read_counters, read_outcomes, run_chunks
 from topicflow.streaming.enrichment import read_results, start_enrichment
 
 TOPICS = (
@@ -421,6 +426,89 @@ def enrichment_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_results(spark, results).select("paper_id", "summary")
 
 
+def _digest(text: str) -> str:
+    """An answer that depends on every character."""
+    return f"{len(text)} {hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()}"
+
+
+def _digesting():
+    return lambda texts: [_digest(t) for t in texts]
+
+
+def _digesting_most():
+    """A model that fails for good on one length in seven."""
+
+    def answer(texts):
+        if any(len(t) % 7 == 3 for t in texts):
+            raise ValueError("not this one")
+        return [_digest(t) for t in texts]
+
+    return answer
+
+
+def _away():
+    def answer(texts):
+        raise ConnectionError("away")
+
+    return answer
+
+
+def _unreliable():
+    """A model that hangs, is away or fails for good, by the length of its input."""
+
+    def answer(texts):
+        size = len(texts[0])
+        if size % 200 == 7:
+            time.sleep(6)
+        if size % 10 == 3:
+            raise ValueError("not this one")
+        if size % 10 == 5:
+            raise ConnectionError("away")
+        return [_digest(t) for t in texts]
+
+    return answer
+
+
+def enrichment_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in chunks of 150, with a run that ends after three of them and one that goes on."""
+    folder = shared_dir(spark, "chunks")
+    land_papers(src.arriving_papers(spark, sf_dir), folder, 150)
+    for most in (3, None):
+        run_chunks(spark, folder, _digesting, CallPolicy(in_flight=8), max_chunks=most)
+    return read_outcomes(spark, folder).select("paper_id", "summary", "status", "attempts", "attempt")
+
+
+def enrichment_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs against a model that is away, the second of which only tries once, and one that gets through."""
+    folder = shared_dir(spark, "stopped")
+    land_papers(src.arriving_papers(spark, sf_dir), folder, 500)
+    for model in (_away, _away, _digesting):
+        run_chunks(spark, folder, model, CallPolicy(attempts=1, max_failures=5))
+    run = F.when((F.col("chunk") == 0) & (F.col("attempt") < 2), F.col("attempt") + 1).otherwise(3)
+    counted = read_counters(spark, folder).groupBy(run.alias("run"))
+    return counted.agg(F.sum("processed").alias("processed"), F.sum("errors").alias("errors"), (F.sum("skipped") > 0).alias("skipped_some"), F.sum("calls").alias("calls"))
+
+
+def enrichment_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters observed while chunks were written, next to those of the table."""
+    folder = shared_dir(spark, "counters")
+    land_papers(src.arriving_papers(spark, sf_dir), folder, 400)
+    run_chunks(spark, folder, _digesting_most, CallPolicy(in_flight=8, max_failures=None))
+    names = ("processed", "errors", "skipped")
+    observed = read_counters(spark, folder).agg(*(F.sum(n).alias(n) for n in (*names, "calls")))
+    of = lambda status: F.count_if(F.col("status") == status)
+    table = read_outcomes(spark, folder).agg(*(of(s).alias(f"table_{n}") for n, s in zip(names, ("done", "failed", "skipped"))))
+    both = observed.unionByName(table, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
+
+
+def enrichment_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes by kind of error, with a model that hangs on some inputs."""
+    pending = enrich.pending_summaries(src.papers(spark, sf_dir), _processed(spark, sf_dir))
+    policy = CallPolicy(in_flight=8, deadline=2.0, attempts=3, pauses={"connection": 0.01}, max_failures=None)
+    return call_model(pending, _unreliable, "paper_id", "abstract", "summary", policy).select("paper_id", "summary", "status", "kind", "attempts")
+
+
 def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = enrich.run_statistics(src.run_log(spark, sf_dir))
     for c in ("mean_seconds", "mean_chars", "total_seconds", "corpus_hours"):
@@ -448,6 +536,6 @@ QUERIES = {
         question_contexts, question_contexts_by_year, question_prompts, pending_summaries, applied_summaries,
         summary_coverage, summary_samples, stripped_reasoning, model_topic_lines, rendered_prompts, prompt_comparison,
         topics_prompt, model_topics, extractive_summary, enrichment_counters, enrichment_incremental, run_statistics, trend_report,
-        report_lines, answered_questions, stored_notes, stored_papers, stored_collection, rejected_papers, enrichment_failures,
+        enrichment_chunks, enrichment_stopped, enrichment_run_counters, enrichment_deadlines, report_lines, answered_questions, stored_notes, stored_papers, stored_collection, rejected_papers, enrichment_failures,
     )
 }
