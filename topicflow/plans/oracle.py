@@ -426,6 +426,7 @@ ORACLE_SQL = {
                || chr(10) || chr(10) || 'Answer:', 60) AS answer, CAST(NULL AS VARCHAR) AS error
         FROM distinct_questions LEFT JOIN question_texts USING (question)""",
     "stored_notes": f"WITH {PAPERS},{FLAT} SELECT * FROM flat",
+    "array_notes": f"WITH {PAPERS},{FLAT} SELECT * FROM flat",
     "stored_papers": f"""WITH {PAPERS},{FLAT}
         SELECT conference, paper_id, number, title, abstract, venue, decision FROM flat WHERE title <> '' AND abstract <> ''""",
     "stored_collection": f"""WITH {PAPERS},{FLAT}

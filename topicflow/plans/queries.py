@@ -37,7 +37,8 @@ from topicflow.operators.retrieval import (
 from topicflow.plans import report as reports
 from topicflow.session import shared_dir
 from topicflow.sources import driver_tables as src, papers as collection
-from topicflow.sources.notes import read_note_lines, write_note_lines
+from topicflow.sources.arrays import read_json_elements, write_json_arrays
+from topicflow.sources.notes import notes_from_json, read_note_lines, write_note_lines
 from topicflow.streaming.chunks import land_papers, read_counters, read_outcomes, run_chunks
 from topicflow.streaming.enrichment import read_results, start_enrichment
 
@@ -298,6 +299,19 @@ def stored_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.withColumn("authors", _joined("authors")).withColumn("keywords", _joined("keywords"))
 
 
+def array_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw notes written as JSON arrays and read back in ranges of 256 KB, whatever the session's ranges are."""
+    folder = shared_dir(spark, "arrays")
+    notes = src.raw_notes(spark, sf_dir)
+    write_json_arrays(notes.select(F.to_json(F.struct("*")).alias("element")), folder)
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(256 << 10))
+    elements = read_json_elements(session, folder)
+    conference = F.try_variant_get(F.parse_json("element"), "$.conference", "string")
+    flat = ingest.flatten_notes(notes_from_json(elements.select(conference.alias("conference"), F.col("element").alias("note"))))
+    return flat.withColumn("authors", _joined("authors")).withColumn("keywords", _joined("keywords"))
+
+
 def stored_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned papers written by conference and read back."""
     folder = shared_dir(spark, "clean")
@@ -536,6 +550,6 @@ QUERIES = {
         question_contexts, question_contexts_by_year, question_prompts, pending_summaries, applied_summaries,
         summary_coverage, summary_samples, stripped_reasoning, model_topic_lines, rendered_prompts, prompt_comparison,
         topics_prompt, model_topics, extractive_summary, enrichment_counters, enrichment_incremental, run_statistics, trend_report,
-        enrichment_chunks, enrichment_stopped, enrichment_run_counters, enrichment_deadlines, report_lines, answered_questions, stored_notes, stored_papers, stored_collection, rejected_papers, enrichment_failures,
+        enrichment_chunks, enrichment_stopped, enrichment_run_counters, enrichment_deadlines, report_lines, answered_questions, stored_notes, array_notes, stored_papers, stored_collection, rejected_papers, enrichment_failures,
     )
 }
