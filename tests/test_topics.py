@@ -128,9 +128,8 @@ def bodies(papers):
     return [(r["year"], join(r)) for r in rows]
 
 
-@pytest.mark.parametrize("wide_limit", [64, 0])
-def test_trends(papers, wide_limit):
-    got = trends.track_topic_trends(papers, TOPICS + ["graph", ""], 2021, 2024, wide_limit=wide_limit).collect()
+def test_trends(papers):
+    got = trends.track_topic_trends(papers, TOPICS + ["graph", ""], 2021, 2024).collect()
     expected = set()
     for year in (2022, 2023, 2024):
         texts = [b for y, b in bodies(papers) if y == year]
@@ -188,3 +187,25 @@ def test_network(papers, minimum):
 def test_network_of_an_empty_year(papers):
     net = network.topic_network(papers, 1999)
     assert net.nodes.collect() == [] and net.edges.collect() == [] and net.total_papers.first()[0] == 0
+
+
+def test_mentions_do_not_overlap():
+    from topicflow.operators.matching import TopicMatcher
+
+    topics = ["aa", "aaa", "ab", "b", "graph", "ph n", "aa"]
+    texts = ["", "aaaa", "aaaaaab", "graph net graph nets", "abababab", "x" * 100_000 + "aa", "日本aa"]
+    for text in texts:
+        found = TopicMatcher(topics).mentions(text)
+        assert [found[i] for i in range(len(topics))] == [text.count(t) for t in topics]
+
+
+def test_many_topics_in_one_scan(papers):
+    topics = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "aeiourstnl"] + ["GRAPH", "Ähnlich"]
+    found = trends.track_topic_trends(papers, topics, 2021, 2024)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") <= 2  # one and its copy in the initial plan
+    rows = trends.paper_texts(papers).collect()
+    for r in found.collect():
+        bodies = [t.body for t in rows if t.year == r.year]
+        needle = r.topic.lower()
+        assert (r.mentions, r.papers_with_topic, r.papers) == (sum(b.count(needle) for b in bodies), sum(needle in b for b in bodies), len(bodies))
+    assert found.count() == 3 * len(topics)

@@ -7,12 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from topicflow.functions.text import analysis_text, matched_bytes
+from topicflow.operators.matching import yearly_mentions
 from topicflow.operators.topics import TopicFinder, default_finder, terms_of_selections
 from topicflow.sources.papers import papers_of_years
 
-WIDE_LIMIT = 64
-"""Up to this many topics are counted as aggregate columns; longer lists as exploded rows."""
-
 TREND_SCHEMA = "rank INT, topic STRING, year INT, mentions BIGINT, papers_with_topic BIGINT, papers BIGINT, percentage DOUBLE"
 
 
@@ -47,56 +45,17 @@ def _mentions(found_bytes: Column, topic: Column) -> Column:
     return (F.coalesce(found_bytes, F.lit(0)) / F.octet_length(F.lower(topic))).cast("long")
 
 
-def _wide_counts(texts: DataFrame, topics: Sequence[str]) -> DataFrame:
-    """One pass, one row per year: no text is copied and only a few numbers are shuffled."""
-    matches = _with_matches(texts, topics, "year")
-    sums = [F.sum(f"match_{i}").alias(f"bytes_{i}") for i in range(len(topics))]
-    papers = [F.count_if(F.col(f"match_{i}") > 0).alias(f"papers_{i}") for i in range(len(topics))]
-    per_year = matches.groupBy("year").agg(F.count("*").alias("papers"), *sums, *papers)
-    rows = [
-        F.struct(
-            F.lit(i + 1).alias("rank"),
-            F.lit(topic).alias("topic"),
-            _mentions(F.col(f"bytes_{i}"), F.lit(topic)).alias("mentions"),
-            F.col(f"papers_{i}").alias("papers_with_topic"),
-        )
-        for i, topic in enumerate(topics)
-    ]
-    return per_year.select("year", "papers", F.inline(F.array(*rows)))
-
-
-def _long_counts(texts: DataFrame, topics: Sequence[str]) -> DataFrame:
-    """For long topic lists: one row per paper and topic found, combined before the shuffle."""
-    names = F.lit(list(topics))
-    found = texts.select(
-        "year", F.posexplode(F.transform(names, lambda t: matched_bytes(F.col("body"), F.lower(t)))).alias("pos", "bytes")
-    ).where(F.col("bytes") > 0)
-    counts = found.groupBy("year", "pos").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("papers_with_topic"))
-    years = texts.groupBy("year").agg(F.count("*").alias("papers"))
-    grid = years.select("year", "papers", F.posexplode(names).alias("pos", "topic"))
-    return grid.join(counts, ["year", "pos"], "left").select(
-        "year",
-        "papers",
-        (F.col("pos") + 1).alias("rank"),
-        "topic",
-        _mentions(F.col("bytes"), F.col("topic")).alias("mentions"),
-        F.coalesce("papers_with_topic", F.lit(0)).alias("papers_with_topic"),
-    )
-
-
-def track_topic_trends(
-    papers: DataFrame, topics: Sequence[str], first_year: int, last_year: int, wide_limit: int = WIDE_LIMIT
-) -> DataFrame:
+def track_topic_trends(papers: DataFrame, topics: Sequence[str], first_year: int, last_year: int) -> DataFrame:
     """Mentions of each topic in each year that has papers, and mentions per 100 papers.
 
     Matching is by substring and ignores case. Mentions are counted within a paper, never
-    across the boundary of two.
+    across the boundary of two. The list of topics may be long: texts are searched once for all of them.
     """
     topics = distinct_topics(topics)
     if not topics:
         return papers.sparkSession.createDataFrame([], TREND_SCHEMA)
     texts = paper_texts(papers.where(F.col("year").between(first_year, last_year)))
-    counts = (_wide_counts if len(topics) <= wide_limit else _long_counts)(texts, topics)
+    counts = yearly_mentions(texts, topics)
     return counts.select(
         F.col("rank").cast("int").alias("rank"),
         "topic",

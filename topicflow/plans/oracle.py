@@ -329,6 +329,11 @@ ORACLE_SQL = {
     "topic_trends": f"""WITH {PAPERS}, keys(rank, topic) AS (VALUES {VALUES_TOPICS}),{_trends("keys")}
         SELECT topic, year, mentions, papers_with_topic, papers, round(CAST(mentions AS DOUBLE) / papers * 100, 6) AS percentage
         FROM trends""",
+    "topic_trends_many": f"""WITH {PAPERS}, first(a) AS (SELECT unnest(string_split('aeiou', ''))), second(b) AS (SELECT unnest(string_split('lmnprstvdc', ''))),
+        third(c) AS (SELECT unnest(string_split('aeiounrstl', ''))), keys(topic) AS (SELECT a || b || c FROM first, second, third)
+        SELECT topic, year, CAST(sum({_mentions("body", "topic")}) AS BIGINT) AS mentions,
+               count(*) FILTER (WHERE contains(body, topic)) AS papers_with_topic, count(*) AS papers
+        FROM bodies, keys WHERE year BETWEEN 2020 AND 2024 GROUP BY topic, year""",
     "clean_documents": f"WITH {PAPERS} SELECT paper_id, title, abstract, summary FROM papers",
     "flatten_notes": f"WITH {PAPERS},{FLAT} SELECT * FROM flat WHERE title <> '' AND abstract <> ''",
     "schema_profile": f"""WITH {PAPERS}
