@@ -3,7 +3,7 @@
 One edit changes a word's letter counts by a squared distance of one (a letter more or less) or two (a letter for another). Letters
 are dealt to a few groups, and words with equally many letters of each group are a block; that splits each length into many
 blocks, and an edit leads from a block only to itself, to one with a letter of one group for one of another, or to one
-a letter shorter in one group. A word is sent to those blocks; there the squared distances between the block's words and
+a letter shorter in one group. A block's words are sent to those blocks together; there the squared distances between the block's words and
 all that came are a matrix product away, pairs at most two apart are kept, and their edit is verified on the letters.
 """
 
@@ -13,6 +13,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ _HELD, _HELD_BYTES = 1 << 18, 32 << 20
 LETTERS = [*range(ord("a"), ord("z") + 1), *range(0xC0, 0x100)]
 _PLACE = np.zeros(256, np.int64)
 _PLACE[LETTERS] = np.arange(len(LETTERS))
-#: Words a block has on average, about; words and comers that a task compares at once.
-BLOCK_WORDS, HOSTS, COMERS = 64, 2048, 16384
+#: Words a block has on average, about; words of a block that travel together.
+BLOCK_WORDS, TILE_WORDS = 16, 2048
 
 
 # words
@@ -93,12 +94,26 @@ def count_words(docs: DataFrame, least_letters: int = LEAST_LETTERS, least_count
 # blocks of words
 
 
-def letter_counts(words: list[bytes]) -> np.ndarray:
+class Words(NamedTuple):
+    """Words in Latin-1, one behind the other."""
+
+    letters: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[bytes]) -> Words:
+        return cls(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+
+    @property
+    def ends(self) -> np.ndarray:
+        return np.cumsum(self.sizes)
+
+
+def letter_counts(words: Words) -> np.ndarray:
     """How often each letter occurs in each word."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    places = _PLACE[np.frombuffer(b"".join(words), np.uint8)]
-    at = np.repeat(np.arange(len(words)), sizes) * len(LETTERS) + places
-    return np.bincount(at, minlength=len(words) * len(LETTERS)).reshape(len(words), len(LETTERS))
+    n = len(words.sizes)
+    at = np.repeat(np.arange(n) * len(LETTERS), words.sizes) + _PLACE[words.letters]
+    return np.bincount(at, minlength=n * len(LETTERS)).reshape(n, len(LETTERS))
 
 
 def letter_groups(weights: np.ndarray, n_words: int, block_words: int = BLOCK_WORDS) -> np.ndarray:
@@ -114,112 +129,186 @@ def letter_groups(weights: np.ndarray, n_words: int, block_words: int = BLOCK_WO
     return group
 
 
-def copies(n_groups: int) -> int:
-    """Rows that a word is sent as, at most."""
-    return 2 + n_groups + n_groups * (n_groups - 1) // 2
+def block_of(counts: np.ndarray) -> bytes:
+    return counts.astype("<u4").tobytes()
 
 
-SENT = "block BINARY, host BOOLEAN, near BOOLEAN, word BINARY, n LONG"
+def neighbours(block: bytes) -> Iterator[bytes]:
+    """The blocks that receive this one's words: of two blocks of one length the smaller in the order of its counts, of two lengths the shorter.
 
+    So two words of unlike blocks meet once.
+    """
+    counts = np.frombuffer(block, "<u4").astype(np.int64)
+    for i in np.flatnonzero(counts).tolist():
+        counts[i] -= 1
+        yield block_of(counts)
+        for j in range(i + 1, len(counts)):
+            counts[j] += 1
+            yield block_of(counts)
+            counts[j] -= 1
+        counts[i] += 1
 
-def sent_words(words: DataFrame, group: np.ndarray) -> DataFrame:
-    """``block, host, near, word, n``: every word at home (as host, and as comer of its own block) and where an edit may lead.
 
-    Of two blocks of one length the smaller in the order of its counts receives the other's words, of two lengths the shorter; so a pair meets once.
-    """
-    n_groups = int(group.max()) + 1
-    into = np.eye(n_groups, dtype=np.int64)[group]
+def copies(n_groups: int) -> int:
+    """Blocks that a word is sent to, at most."""
+    return 1 + n_groups + n_groups * (n_groups - 1) // 2
+
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def with_blocks(words: DataFrame, group: np.ndarray) -> DataFrame:
+    """``words`` (word, n) with their ``block``."""
+    into = np.eye(int(group.max()) + 1, dtype=np.int64)[group]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
-                words = [w.encode("latin-1") for w in part.column("word").to_pylist()]
-                counts = letter_counts(words) @ into
-                sent = [(np.arange(len(words)), counts, True, True), (np.arange(len(words)), counts, False, True)]
-                for i in range(n_groups):
-                    has = np.flatnonzero(counts[:, i])
-                    fewer = counts[has]
-                    fewer[:, i] -= 1
-                    sent.append((has, fewer, False, False))
-                    for j in range(i + 1, n_groups):
-                        other = fewer.copy()
-                        other[:, j] += 1
-                        sent.append((has, other, False, False))
-                for at, blocks, host, near in sent:
-                    if len(at):
-                        keys = [row.tobytes() for row in blocks.astype("<u4")]
-                        columns = [
-                            pa.array(keys, pa.binary()), pa.array([host] * len(at)), pa.array([near] * len(at)),
-                            pa.array([words[i] for i in at.tolist()], pa.binary()), part.column("n").take(pa.array(at)),
-                        ]
-                        yield pa.RecordBatch.from_arrays(columns, ["block", "host", "near", "word", "n"])
-
-    return words.mapInArrow(send, SENT)
-
-
-def one_edit(x: list[bytes], y: list[bytes]) -> np.ndarray:
-    """Which pairs differ by exactly one letter inserted, deleted or replaced; lengths differ by one at most."""
-    out = np.zeros(len(x), bool)
-    swap = [len(a) > len(b) for a, b in zip(x, y)]
-    short = [b if s else a for a, b, s in zip(x, y, swap)]
-    long = [a if s else b for a, b, s in zip(x, y, swap)]
-    sizes = np.array([(len(a), len(b)) for a, b in zip(short, long)], np.int64).reshape(-1, 2)
-    for size, larger in np.unique(sizes, axis=0).tolist():
-        mine = np.flatnonzero((sizes[:, 0] == size) & (sizes[:, 1] == larger))
-        step = max(1, (8 << 20) // larger)
+                counts = letter_counts(Words.of([w.encode("latin-1") for w in part.column("word").to_pylist()])) @ into
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([block_of(c) for c in counts], pa.binary())], ["word", "n", "block"])
+
+    return words.mapInArrow(place, "word STRING, n LONG, block BINARY")
+
+
+MESSAGES = "block BINARY, home BOOLEAN, own BOOLEAN, tile INT, sizes BINARY, letters BINARY, n BINARY"
+
+
+def _messages(placed: DataFrame, n_parts: int) -> DataFrame:
+    """All words of a tile as one row for each block they go to; ``placed`` has word, n, block and tile.
+
+    ``home`` is the tile where it lies, ``own`` its copy for the other tiles of its block.
+    """
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("block", "ascending"), ("tile", "ascending")])
+        blocks, tiles, n = table["block"].to_pylist(), table["tile"].to_pylist(), table["n"].to_numpy()
+        words = [w.encode("latin-1") for w in table["word"].to_pylist()]
+        rows: list[tuple] = []
+        start = 0
+        while start < len(words):
+            end = start + 1
+            while end < len(words) and blocks[end] == blocks[start] and tiles[end] == tiles[start]:
+                end += 1
+            flat = Words.of(words[start:end])
+            content = (flat.sizes.astype("<u4").tobytes(), flat.letters.tobytes(), n[start:end].astype("<i8").tobytes())
+            rows.append((blocks[start], True, False, tiles[start], *content))
+            if tiles[start]:
+                rows.append((blocks[start], False, True, tiles[start], *content))
+            rows += [(block, False, False, tiles[start], *content) for block in neighbours(blocks[start])]
+            start = end
+        kinds = [pa.binary(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        names = [field.split()[0] for field in MESSAGES.split(", ")]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("block", "tile"), F.lit(n_parts)))
+    return dealt.select("part", "word", "n", "block", "tile").groupBy("part").applyInArrow(pack, MESSAGES)
+
+
+def one_edit(x: Words, i: np.ndarray, y: Words, j: np.ndarray) -> np.ndarray:
+    """Which pairs of words differ by exactly one letter inserted, deleted or replaced; lengths differ by one at most."""
+    out = np.zeros(len(i), bool)
+    a_size, b_size = x.sizes[i], y.sizes[j]
+    a_start, b_start = (x.ends - x.sizes)[i], (y.ends - y.sizes)[j]
+    kinds = np.stack([a_size, b_size], axis=1)
+    for size, other in np.unique(kinds, axis=0).tolist():
+        if abs(size - other) > 1:
+            continue
+        mine = np.flatnonzero((a_size == size) & (b_size == other))
+        step = max(1, (4 << 20) // max(size, other))
         for s in range(0, len(mine), step):
             at = mine[s : s + step]
-            a = np.frombuffer(b"".join(short[i] for i in at), np.uint8).reshape(len(at), size)
-            b = np.frombuffer(b"".join(long[i] for i in at), np.uint8).reshape(len(at), larger)
-            if size == larger:
+            a = x.letters[a_start[at][:, None] + np.arange(size)]
+            b = y.letters[b_start[at][:, None] + np.arange(other)]
+            if size == other:
                 out[at] = (a != b).sum(axis=1) == 1
-            elif larger == size + 1:
-                front = np.logical_and.accumulate(a == b[:, :-1], axis=1).sum(axis=1)
-                back = np.logical_and.accumulate((a == b[:, 1:])[:, ::-1], axis=1).sum(axis=1)
-                out[at] = front + back >= size
+                continue
+            short, long = (a, b) if size < other else (b, a)
+            front = np.logical_and.accumulate(short == long[:, :-1], axis=1).sum(axis=1)
+            back = np.logical_and.accumulate((short == long[:, 1:])[:, ::-1], axis=1).sum(axis=1)
+            out[at] = front + back >= min(size, other)
     return out
 
 
-def near_pairs(hosts: list[bytes], comers: list[bytes], at_home: np.ndarray, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (host, comer) one edit apart; a comer ``at_home`` is itself a host of the block and meets the smaller ones only.
+def near_pairs(x: Words, y: Words, same: bool = False, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs one edit apart; with ``same``, ``y`` is ``x`` and each pair comes once.
 
-    Squared distances come from the Gram matrix of a stretch of hosts and one of comers, so memory is bounded by the two.
+    Squared distances come from the Gram matrix of a stretch of ``x`` and one of ``y``, so memory is bounded by the two.
     """
-    longest = max(map(len, hosts + comers))
+    longest = max(x.sizes.max(), y.sizes.max())
     kind = np.float32 if longest < 2000 else np.float64  # products of counts stay exact
-    y_all = letter_counts(comers).astype(kind)
-    y_norm = (y_all * y_all).sum(axis=1)
-    for s in range(0, len(hosts), step):
-        x = letter_counts(hosts[s : s + step]).astype(kind)
-        x_norm = (x * x).sum(axis=1)
-        for t in range(0, len(comers), 16 * step):
-            y = y_all[t : t + 16 * step]
-            apart = x_norm[:, None] + y_norm[None, t : t + 16 * step] - 2 * (x @ y.T)
+    for t in range(0, len(y.sizes), 16 * step):
+        last = min(t + 16 * step, len(y.sizes))
+        letters = slice(int(y.sizes[:t].sum()), int(y.sizes[:last].sum()))
+        b = letter_counts(Words(y.letters[letters], y.sizes[t:last])).astype(kind)
+        b_norm = np.einsum("ij,ij->i", b, b)
+        for s in range(0, min(len(x.sizes), last) if same else len(x.sizes), step):
+            end = min(s + step, len(x.sizes))
+            letters = slice(int(x.sizes[:s].sum()), int(x.sizes[:end].sum()))
+            a = letter_counts(Words(x.letters[letters], x.sizes[s:end])).astype(kind)
+            apart = np.einsum("ij,ij->i", a, a)[:, None] + b_norm[None, :] - 2 * (a @ b.T)
             i, j = np.nonzero((apart > 0) & (apart <= 2))
             i, j = i + s, j + t
-            keep = [not at_home[b] or hosts[a] < comers[b] for a, b in zip(i.tolist(), j.tolist())]
-            i, j = i[keep], j[keep]
+            if same:
+                once = i < j
+                i, j = i[once], j[once]
             if len(i):
-                ok = one_edit([hosts[a] for a in i.tolist()], [comers[b] for b in j.tolist()])
-                if ok.any():
-                    yield i[ok], j[ok]
+                ok = one_edit(x, i, y, j)
+                yield i[ok], j[ok]
 
 
 NEAR = "word STRING, other STRING, other_n LONG"
 
 
-def variant_links(words: DataFrame, folder: str, hosts: int = HOSTS, comers: int = COMERS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _unpacked(table: pa.Table, rows: list[int]) -> tuple[Words, np.ndarray, bytes]:
+    """Words of some messages, their numbers, and all letters once more."""
+    parts = [[table[c][r].as_py() for r in rows] for c in ("sizes", "letters", "n")]
+    sizes, letters, n = (b"".join(p) for p in parts)
+    return Words(np.frombuffer(letters, np.uint8), np.frombuffer(sizes, "<u4").astype(np.int64)), np.frombuffer(n, "<i8"), letters
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    cells: dict[tuple, tuple[list[int], list[int]]] = {}
+    for at, (block, row, column, home) in enumerate(zip(*(table[c].to_pylist() for c in ("block", "row", "column", "home")))):
+        cells.setdefault((block, row, column), ([], []))[0 if home else 1].append(at)
+    word: list[str] = []
+    other: list[str] = []
+    other_n: list[np.ndarray] = []
+
+    def add(x, i, y, j) -> None:
+        (xs, x_n, x_letters), (ys, y_n, y_letters) = x, y
+        x_end, y_end = xs.ends, ys.ends
+        a = [x_letters[e - n : e].decode("latin-1") for e, n in zip(x_end[i].tolist(), xs.sizes[i].tolist())]
+        b = [y_letters[e - n : e].decode("latin-1") for e, n in zip(y_end[j].tolist(), ys.sizes[j].tolist())]
+        word.extend(a + b)
+        other.extend(b + a)
+        other_n.extend([y_n[j], x_n[i]])
+
+    for (_, _, column), (homes, comers) in cells.items():
+        if not homes:
+            continue
+        x = _unpacked(table, homes)
+        if column == 0:
+            for i, j in near_pairs(x[0], x[0], same=True):
+                add(x, i, x, j)
+        if comers:
+            y = _unpacked(table, comers)
+            for i, j in near_pairs(x[0], y[0]):
+                add(x, i, y, j)
+    numbers = np.concatenate(other_n or [np.zeros(0, np.int64)])
+    return pa.Table.from_arrays([pa.array(word, pa.string()), pa.array(other, pa.string()), pa.array(numbers, pa.int64())], ["word", "other", "other_n"])
+
+
+def variant_links(words: DataFrame, folder: str, tile_words: int = TILE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``word, other, other_n`` of all words that are one edit apart, in both directions; ``words`` (word, n) is a stored table.
 
-    Blocks with more than ``hosts`` words or ``comers`` comers are cut into tiles, every tile of hosts meeting every tile of comers.
+    A block's words travel together, one row for each block they go to. Blocks with more than ``tile_words`` words are cut into tiles, and
+    tiles of two blocks, or of one, meet in tasks of their own.
     """
+    spark = words.sparkSession
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(LETTERS), np.int64)
         for batch in batches:
             if batch.num_rows:
-                total += letter_counts([w.encode("latin-1") for w in batch.column("word").to_pylist()]).sum(axis=0)
+                total += np.bincount(_PLACE[Words.of([w.encode("latin-1") for w in batch.column("word").to_pylist()]).letters], minlength=len(LETTERS))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(LETTERS)), pa.int32()), pa.array(total)], ["letter", "k"])
 
     weights = np.zeros(len(LETTERS))
@@ -227,47 +316,31 @@ def variant_links(words: DataFrame, folder: str, hosts: int = HOSTS, comers: int
         weights[row["letter"]] = row["k"]  # one number for each letter
     n_words = words.count()
     group = letter_groups(weights, n_words, block_words)
-    sent = sent_words(words, group)
-    sizes = sent.groupBy("block").agg(F.count_if("host").alias("hosts"), F.count_if(~F.col("host")).alias("comers"))
-    sizes.where((F.col("hosts") > hosts) | (F.col("hosts") > 0) & (F.col("comers") > comers)).write.parquet(f"{folder}/wide")
-    wide = words.sparkSession.read.schema("block BINARY, hosts LONG, comers LONG").parquet(f"{folder}/wide")
-    wide = wide.select("block", F.ceil(F.col("hosts") / hosts).alias("rows"), F.ceil(F.col("comers") / comers).alias("columns"))
-    placed = sent.join(wide, "block", "left").withColumns({"rows": F.coalesce("rows", F.lit(1)), "columns": F.coalesce("columns", F.lit(1))})
-    own_row, own_column = F.pmod(F.xxhash64("word"), "rows"), F.pmod(F.xxhash64(F.lit(1), "word"), "columns")
-    is_host = F.col("host")
-    tiled = placed.withColumn("row", F.explode(F.when(is_host, F.array(own_row)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))))
-    tiled = tiled.withColumn("column", F.explode(F.when(is_host, F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).otherwise(F.array(own_column))))
-    n_parts = max(1, -(-n_words * copies(int(group.max()) + 1) // 50_000))
-    dealt = tiled.withColumn("part", F.pmod(F.xxhash64("block", "row", "column"), F.lit(n_parts)))
-
-    def meet(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("block", "ascending"), ("row", "ascending"), ("column", "ascending")])
-        blocks, rows, columns = (table[c].to_pylist() for c in ("block", "row", "column"))
-        host, near, n = (table[c].to_numpy() for c in ("host", "near", "n"))
-        word = table["word"].to_pylist()
-        found: list[tuple[bytes, bytes, int]] = []
-        start = 0
-        while start < len(word):
-            end = start + 1
-            while end < len(word) and blocks[end] == blocks[start] and rows[end] == rows[start] and columns[end] == columns[start]:
-                end += 1
-            mine = np.arange(start, end)
-            h, c = mine[host[start:end]], mine[~host[start:end]]
-            start = end
-            if len(h) and len(c):
-                for i, j in near_pairs([word[k] for k in h], [word[k] for k in c], near[c]):
-                    for a, b in zip(h[i].tolist(), c[j].tolist()):
-                        found.append((word[a], word[b], n[b]))
-                        found.append((word[b], word[a], n[a]))
-        return pa.Table.from_arrays(
-            [
-                pa.array([f[0].decode("latin-1") for f in found], pa.string()), pa.array([f[1].decode("latin-1") for f in found], pa.string()),
-                pa.array([int(f[2]) for f in found], pa.int64()),
-            ],
-            ["word", "other", "other_n"],
-        )
-
-    return dealt.select("part", "block", "row", "column", "host", "near", "word", "n").groupBy("part").applyInArrow(meet, NEAR)
+    placed = with_blocks(words, group)
+    sizes = placed.groupBy("block").agg(F.ceil(F.count("*") / tile_words).alias("tiles"))
+    sizes.where("tiles > 1").write.parquet(f"{folder}/wide")
+    wide = spark.read.schema("block BINARY, tiles LONG").parquet(f"{folder}/wide")
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, tiles in zip(batch.column("block").to_pylist(), batch.column("tiles").to_pylist()):
+                targets = [block, *neighbours(block)]
+                yield pa.RecordBatch.from_arrays([pa.array(targets, pa.binary()), pa.array([tiles] * len(targets), pa.int64())], ["block", "columns"])
+
+    reach = wide.mapInArrow(reached, "block BINARY, columns LONG").groupBy("block").agg(F.max("columns").alias("columns"))
+    own_tile = F.pmod(F.xxhash64("word"), F.coalesce("tiles", F.lit(1))).cast("int")
+    shipped = n_words * copies(int(group.max()) + 1)
+    sent = _messages(placed.join(wide, "block", "left").withColumn("tile", own_tile), max(1, -(-n_words // 20_000)))
+    met = sent.join(wide, "block", "left").join(reach, "block", "left").withColumns(
+        {"tiles": F.coalesce("tiles", F.lit(1)).cast("int"), "columns": F.coalesce("columns", F.lit(1)).cast("int")}
+    )
+    # a tile at home waits in every column, a comer goes to all rows of its column; one of the same block to the rows before its own
+    all_of = lambda n: F.sequence(F.lit(0), n - 1)
+    rows = F.when(F.col("home"), F.array("tile")).when(F.col("own"), all_of(F.col("tile"))).otherwise(all_of(F.col("tiles")))
+    columns = F.when(F.col("home"), all_of(F.col("columns"))).otherwise(F.array("tile"))
+    tiled = met.withColumn("row", F.explode(rows)).withColumn("column", F.explode(columns))
+    dealt = tiled.withColumn("part", F.pmod(F.xxhash64("block", "row", "column"), F.lit(max(1, -(-shipped // 200_000)))))
+    return dealt.select("part", "block", "row", "column", "home", "sizes", "letters", "n").groupBy("part").applyInArrow(_meet, NEAR)
 
 
 # forms
