@@ -149,8 +149,8 @@ def test_report(spark, papers, tmp_path):
     assert len(document["topic_trends"]) == 12 and document["papers_per_year"][0] == {"year": 2022, "papers": 2}
     P.save_report_lines(report, str(tmp_path / "lines"))
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "lines")).collect()]
-    assert lines[0] == "TOPIC TREND SUMMARY" and "Total Papers: 9" in lines and "  2022: 2 papers" in lines
-    assert any(line.endswith("% growth) [NEW]") for line in lines)
+    assert lines[0] == "papers from 2022 to 2024 | 9" and lines[1:4] == ["papers in 2022 | 2", "papers in 2023 | 3", "papers in 2024 | 4"]
+    assert lines[4] == "topic 1 | graph" and any(line.startswith("rising 1 |") and line.endswith("| new") for line in lines)
     facts = {(r["section"], r["item"], r["detail"]): r["value"] for r in P.report_facts(report).collect()}
     assert facts["papers_per_year", "2023", ""] == 3 and facts["centrality", "image", ""] == 1
     assert P.chart_topic_trends(report, 2).count() == 6 and P.chart_centrality(report, 2).count() == 2

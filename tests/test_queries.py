@@ -69,3 +69,9 @@ def test_retrieval_does_not_shuffle_texts(spark):
 def test_text_columns_are_pruned(spark):
     plan = entry.queries()["papers_per_year"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint>" in plan
+
+
+@pytest.mark.parametrize("name", ["papers_of_year_limited", "knn_exact", "knn_year_filtered", "knn_many_queries"])
+def test_limits_need_no_window(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan

@@ -291,20 +291,11 @@ FACTS = "\nUNION ALL\n".join(
         _fact("cooccurrence", "topic1", "topic2", "cooccurrence", "edges"),
     ]
 )
-HEAD = ["TOPIC TREND SUMMARY", "=" * 40, "Year Range: (2020, 2024)", None, "", "PAPERS PER YEAR:"]
-HEAD_LINES = "\nUNION ALL ".join(
-    f"SELECT 0 AS section, {i} AS line_no, "
-    + ("'Total Papers: ' || (SELECT count(*) FROM papers)" if t is None else _quote(t))
-    + " AS line"
-    for i, t in enumerate(HEAD)
-)
-LINES = f"""{HEAD_LINES}
-UNION ALL SELECT 1, year, '  ' || year || ': ' || papers || ' papers' FROM year_counts
-UNION ALL SELECT 2, 0, '' UNION ALL SELECT 2, 1, 'KEY TOPICS IDENTIFIED:'
-UNION ALL SELECT 3, rank, '  ' || rank || '. ' || topic FROM keys WHERE rank <= 10
-UNION ALL SELECT 4, 0, '' UNION ALL SELECT 4, 1, 'TOP EMERGING TOPICS:'
-UNION ALL SELECT 5, position,
-  '  ' || position || '. ' || topic || ' (' || printf('%.1f', growth_rate * 100) || '% growth) [' || status || ']' FROM fastest"""
+LINES = """SELECT 0 AS section, 0 AS line_no, 'papers from 2020 to 2024 | ' || count(*) AS line FROM papers
+UNION ALL SELECT 1, year, 'papers in ' || year || ' | ' || papers FROM year_counts
+UNION ALL SELECT 2, rank, 'topic ' || rank || ' | ' || topic FROM keys WHERE rank <= 10
+UNION ALL SELECT 3, position,
+  'rising ' || position || ' | ' || topic || ' | ' || printf('%+.1f', growth_rate * 100) || ' % | ' || lower(status) FROM fastest"""
 
 TEMPLATE_ROWS = ", ".join(
     f"({_quote(k)}, {_quote(v.replace('{domain}', 'machine learning'))})" for k, v in TEMPLATES.items()

@@ -125,38 +125,16 @@ def save_report(report: TrendReport, path: str) -> None:
 
 
 def report_lines(report: TrendReport) -> DataFrame:
-    """The printed summary as ordered lines (section, line_no, line), without its date."""
-    years = f"Year Range: ({report.first_year}, {report.last_year})"
+    """The report in one line per fact (section, line_no, line): the years covered, papers by year, topics, rising topics. No date."""
+    covered = F.format_string(f"papers from {report.first_year} to {report.last_year} | %d", "total_papers")
+    rising = F.format_string("rising %d | %s | %+.1f %% | %s", "position", "topic", _one_decimal(F.col("growth_rate") * 100), F.lower("status"))
     lines = [
-        report.total_papers.select(
-            F.lit(0).alias("section"), F.posexplode(
-                F.array(
-                    F.lit("TOPIC TREND SUMMARY"),
-                    F.lit("=" * 40),
-                    F.lit(years),
-                    F.concat(F.lit("Total Papers: "), F.col("total_papers").cast("string")),
-                    F.lit(""),
-                    F.lit("PAPERS PER YEAR:"),
-                )
-            ).alias("line_no", "line")
-        ),
-        report.papers_per_year.select(
-            F.lit(1).alias("section"),
-            F.col("year").alias("line_no"),
-            F.format_string("  %d: %d papers", "year", "papers").alias("line"),
-        ),
-        _heading(report, 2, "KEY TOPICS IDENTIFIED:"),
+        report.total_papers.select(F.lit(0).alias("section"), F.lit(0).alias("line_no"), covered.alias("line")),
+        report.papers_per_year.select(F.lit(1).alias("section"), F.col("year").alias("line_no"), F.format_string("papers in %d | %d", "year", "papers").alias("line")),
         report.key_topics.where(F.col("rank") <= SHOWN).select(
-            F.lit(3).alias("section"), F.col("rank").alias("line_no"), F.format_string("  %d. %s", "rank", "topic").alias("line")
-        ),
-        _heading(report, 4, "TOP EMERGING TOPICS:"),
-        top_emerging(report.emerging_topics).select(
-            F.lit(5).alias("section"),
-            F.col("position").alias("line_no"),
-            F.format_string(
-                "  %d. %s (%.1f%% growth) [%s]", "position", "topic", _one_decimal(F.col("growth_rate") * 100), "status"
-            ).alias("line"),
+            F.lit(2).alias("section"), F.col("rank").alias("line_no"), F.format_string("topic %d | %s", "rank", "topic").alias("line")
         ),
+        top_emerging(report.emerging_topics).select(F.lit(3).alias("section"), F.col("position").alias("line_no"), rising.alias("line")),
     ]
     result = lines[0]
     for part in lines[1:]:
@@ -169,11 +147,6 @@ def _one_decimal(value: Column) -> Column:
     return F.bround(value, 1)
 
 
-def _heading(report: TrendReport, section: int, text: str) -> DataFrame:
-    spark: SparkSession = report.key_topics.sparkSession
-    return spark.createDataFrame([(section, 0, ""), (section, 1, text)], "section INT, line_no INT, line STRING")
-
-
 def save_report_lines(report: TrendReport, path: str) -> None:
     report_lines(report).select("line").coalesce(1).write.mode("overwrite").text(path)
 

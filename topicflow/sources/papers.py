@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from topicflow.operators.bounded import first_keys
+
+MAX_BROADCAST_IDS = 1_000_000
 
 CLEAN_SCHEMA = (
     "conference STRING, paper_id STRING, forum STRING, number INT, tldr STRING, title STRING, abstract STRING, "
@@ -49,13 +53,17 @@ def papers_of_year(papers: DataFrame, year: int | None = None, limit: int | None
 
 
 def papers_of_years(papers: DataFrame, years: Sequence[int], limit_per_year: int | None = None) -> DataFrame:
-    """Papers of several years appended; a year listed twice contributes its papers twice."""
-    selected = papers.where(F.col("year").isin(sorted(set(years))))
+    """Papers of several years appended; a year listed twice contributes its papers twice.
+
+    A limit keeps the papers with the lowest ids of each year. Those are found from the ids alone; they are as many as years times the limit, and so
+    are broadcast to a second scan, while that is below ``MAX_BROADCAST_IDS``.
+    """
+    wanted = sorted(set(years))
+    selected = papers.where(F.col("year").isin(wanted))
     if limit_per_year is not None:
-        first = Window.partitionBy("year").orderBy("paper_id")
-        selected = (
-            selected.withColumn("_row", F.row_number().over(first)).where(F.col("_row") <= limit_per_year).drop("_row")
-        )
+        kept = first_keys(selected.select("year", "paper_id"), "year", "paper_id", limit_per_year)
+        bounded = len(wanted) * limit_per_year <= MAX_BROADCAST_IDS
+        selected = selected.join(F.broadcast(kept) if bounded else kept, ["year", "paper_id"], "left_semi").select(*papers.columns)
     for year, times in Counter(years).items():
         if times > 1:
             copies = F.sequence(F.lit(1), F.when(F.col("year") == year, F.lit(times)).otherwise(F.lit(1)))
