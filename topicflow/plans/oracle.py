@@ -316,6 +316,13 @@ prompts AS (
 
 DIGEST = "length(abstract) || ' ' || md5(abstract)"
 
+APPLIED = f"""WITH {PAPERS},
+    newest AS (
+      SELECT CAST(conv_id AS VARCHAR) AS paper_id, {_clean("text")} AS fresh FROM conversations
+      WHERE role = 'assistant' AND {_clean("text")} <> ''
+      QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, fresh DESC) = 1)
+    SELECT paper_id, year, coalesce(fresh, summary) AS summary FROM papers LEFT JOIN newest USING (paper_id)"""
+
 ORACLE_SQL = {
     "topic_trends": f"""WITH {PAPERS}, keys(rank, topic) AS (VALUES {VALUES_TOPICS}),{_trends("keys")}
         SELECT topic, year, mentions, papers_with_topic, papers, round(CAST(mentions AS DOUBLE) / papers * 100, 6) AS percentage
@@ -436,12 +443,8 @@ ORACLE_SQL = {
                length(abstract) % 2 = 1 AS failed, CAST(CASE WHEN length(abstract) % 2 = 1 THEN 2 ELSE 1 END AS INTEGER) AS attempts
         FROM pending""",
     "pending_summaries": f"WITH {PAPERS},{PENDING} SELECT paper_id, abstract, FALSE AS has_summary FROM pending",
-    "applied_summaries": f"""WITH {PAPERS},
-        newest AS (
-          SELECT CAST(conv_id AS VARCHAR) AS paper_id, {_clean("text")} AS fresh FROM conversations
-          WHERE role = 'assistant' AND {_clean("text")} <> ''
-          QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, fresh DESC) = 1)
-        SELECT paper_id, year, coalesce(fresh, summary) AS summary FROM papers LEFT JOIN newest USING (paper_id)""",
+    "applied_summaries": APPLIED,
+    "folded_summaries": APPLIED,
     "summary_coverage": f"""WITH {PAPERS}
         SELECT count(*) AS total,
                count(*) FILTER (WHERE abstract <> '' AND coalesce(summary, '') <> '') AS with_summary,

@@ -37,6 +37,7 @@ from topicflow.operators.retrieval import (
 from topicflow.plans import report as reports
 from topicflow.session import shared_dir
 from topicflow.sources import driver_tables as src, papers as collection
+from topicflow.sources.versions import create_versioned, fold_summaries, read_versioned
 from topicflow.sources.arrays import read_json_elements, write_json_arrays
 from topicflow.sources.notes import notes_from_json, read_note_lines, write_note_lines
 from topicflow.streaming.chunks import land_papers, read_counters, read_outcomes, run_chunks
@@ -379,6 +380,16 @@ def applied_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.apply_summaries(papers, src.summary_log(spark, sf_dir))
 
 
+def folded_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log folded into a stored collection in two parts, one of them twice, and read without a join."""
+    path, log = shared_dir(spark, "versions"), src.summary_log(spark, sf_dir)
+    create_versioned(src.papers(spark, sf_dir).select("paper_id", "year", "summary"), path)
+    earlier, later = log.where("ts < 2"), log.where("ts >= 2")
+    for update, part in (("earlier", earlier), ("later", later), ("earlier", earlier)):
+        fold_summaries(spark, path, part, update)
+    return read_versioned(spark, path).select("paper_id", F.col("year").cast("int").alias("year"), "summary")
+
+
 def summary_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.summary_coverage(src.papers(spark, sf_dir))
 
@@ -556,7 +567,7 @@ QUERIES = {
         total_papers, term_statistics, top_terms_tfidf, emerging_topics, chart_emerging, chart_topic_trends,
         topic_document_frequency, topic_cooccurrence, topic_centrality, chart_centrality, knn_exact, knn_year_filtered,
         knn_batch, knn_titles, knn_cells, knn_many_queries, embed_hashing, parsed_questions, parsed_questions_reference, retrieved_by_question,
-        question_contexts, question_contexts_by_year, question_prompts, pending_summaries, applied_summaries,
+        question_contexts, question_contexts_by_year, question_prompts, pending_summaries, applied_summaries, folded_summaries,
         summary_coverage, summary_samples, stripped_reasoning, model_topic_lines, rendered_prompts, prompt_comparison,
         topics_prompt, model_topics, extractive_summary, enrichment_counters, enrichment_incremental, run_statistics, trend_report,
         enrichment_chunks, enrichment_stopped, enrichment_run_counters, enrichment_deadlines, report_lines, answered_questions, stored_notes, array_notes, stored_papers, stored_collection, rejected_papers, enrichment_failures,
