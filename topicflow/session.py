@@ -25,8 +25,8 @@ def local_session(cpus: int = 8, app_name: str = "topicflow") -> SparkSession:
     )
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one that the cluster names.
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder that the cluster names.
 
     Executors must all see it, so a machine-local folder is only used when the
     session itself is local and the setting is absent.
@@ -37,7 +37,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that every executor can reach")
         root = tempfile.mkdtemp(prefix="topicflow-")
         spark.conf.set(CHECKPOINT_SETTING, root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def lasting_dir(spark: SparkSession, name: str) -> str:
+    """A folder below the shared one that later runs find again."""
+    return f"{shared_root(spark)}/{name}"
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
