@@ -540,6 +540,59 @@ def test_no_walk_gives_unlike_windows_one_key(size):
     assert all(np.unique(keys[:, w], return_counts=True)[1].max() < 200 for w in range(keys.shape[1]))
 
 
+@pytest.mark.parametrize("item_bytes", [300, 4 << 20])
+def test_benchmark_in_several_chunks(spark, monkeypatch, item_bytes):
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", item_bytes)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([3, 12, 30])))) for i in range(24)]
+    texts = [(i, " ".join(rng.choices(words, k=20) + (items[i % 24][1].split() if i % 2 else []) + rng.choices(words, k=20))) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id LONG, text STRING")
+    benchmark = spark.createDataFrame(items, "item_id LONG, text STRING")
+    expected = decontaminate.brute_force(texts, items)
+    found = decontaminate.find_leaks(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id): r.distance for r in found} == expected
+    clean = decontaminate.without_leaks(docs, benchmark)
+    assert {r.doc_id for r in clean.collect()} == {i for i, _ in texts} - {i for i, _ in expected}
+
+
+def with_edits(words, e, rng):
+    words = words.tolist()
+    for _ in range(e):
+        kind, at = int(rng.integers(3)), int(rng.integers(len(words)))
+        if kind == 0:
+            words[at] = int(rng.integers(1, 1 << 62))
+        elif kind == 1:
+            del words[at]
+        else:
+            words.insert(at, int(rng.integers(1, 1 << 62)))
+    return words
+
+
+@pytest.mark.parametrize("size", [12, 25, 59, 200])
+def test_recall_of_fresh_copies(size):
+    rng = np.random.default_rng(11)
+    index = decontaminate.ItemIndex([(i, " ".join(f"w{x}" for x in rng.integers(0, 10**9, size))) for i in range(40)], 0.2, 0.98)
+    own, met, tried = index.sizes[size], 0, 0
+    for at, (_, words) in enumerate(index.items):
+        for _ in range(10):
+            copy = with_edits(words, index.allowed[at], rng)
+            text = np.array([*rng.integers(1, 1 << 62, 30), *copy, *rng.integers(1, 1 << 62, 30)], np.uint64)
+            tried += 1
+            met += any(item == at for _, item in index.pairs(text, np.zeros(len(text), np.int64)))
+    assert met / tried >= 0.96 and (not own.exact or met == tried)
+
+
+def test_items_that_walks_miss_are_found_exactly(monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_WALKS", 1)
+    rng = np.random.default_rng(12)
+    index = decontaminate.ItemIndex([(i, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 60))) for i in range(10)], 0.2, 0.98)
+    assert index.sizes[60].exact
+    for at, (_, words) in enumerate(index.items):
+        text = np.array([*rng.integers(1, 1 << 62, 30), *with_edits(words, index.allowed[at], rng), *rng.integers(1, 1 << 62, 30)], np.uint64)
+        assert at in {item for _, item in index.pairs(text, np.zeros(len(text), np.int64))}
+
+
 def test_leaks_of_nothing(spark):
     docs, none = frame(spark, ["a b c d e f"]), spark.createDataFrame([], "item_id LONG, text STRING")
     assert decontaminate.find_leaks(docs, none).count() == 0 and decontaminate.without_leaks(docs, none).count() == 1

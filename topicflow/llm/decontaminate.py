@@ -21,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from topicflow.llm.common import BASES, bytes_total, mix, slices, window_hashes, word_hashes
+from topicflow.session import shared_dir
 
 #: Share of an item's words that may be edited; items too short for an edit are looked for exactly.
 EDITS = 0.2
 RECALL, SAMPLED, MOST_WALKS = 0.98, 2, 96
+#: Copies that recall is measured on, and by how much it must lie above what is promised, as it is measured on a sample.
+COPIES, MARGIN = 500, 0.008
 #: Bytes of items that one pass over the documents looks for; larger benchmarks take several passes.
 ITEM_BYTES = 4 << 20
 _WORD = np.zeros(256, bool)
@@ -112,10 +115,12 @@ class _Size:
     owners: np.ndarray
     walks: np.ndarray
     places: np.ndarray
+    #: whether so many walks meet too few copies, so that every window around a piece is verified instead
+    exact: bool
 
 
 class ItemIndex:
-    """Items by exact pieces and by LSH keys."""
+    """Items by exact pieces and by LSH keys. Items of a length for which walks do not reach the recall have pieces only."""
 
     def __init__(self, items: list[tuple[int, str]], edits: float, recall: float) -> None:
         found = [(i, words_in([folded(t)])[0]) for i, t in items]
@@ -137,13 +142,15 @@ class ItemIndex:
             walks = rng.integers(0, 1 << 63, MOST_WALKS, dtype=np.uint64)
             places = np.sort(rng.integers(0, last_time(size), (MOST_WALKS, SAMPLED)), axis=1)
             n = walks_needed(np.stack([self.items[at][1] for at in own[:20]]), self.allowed[own[0]], walks, places, recall, rng)
+            exact, n = n is None, n or 0
             keys = embed(np.stack([self.items[at][1] for at in own]), walks[:n], places[:n])
             order = np.argsort(keys.ravel(), kind="stable")
-            self.sizes[size] = _Size(own, keys.ravel()[order], np.repeat(own, n)[order], walks[:n], places[:n])
+            self.sizes[size] = _Size(own, keys.ravel()[order], np.repeat(own, n)[order], walks[:n], places[:n], exact)
 
-    def windows(self, words: np.ndarray, text_of: np.ndarray) -> dict[int, np.ndarray]:
-        """Starts of the windows around exact pieces, by their number of words."""
+    def windows(self, words: np.ndarray, text_of: np.ndarray) -> tuple[dict[int, np.ndarray], set[tuple[int, int]]]:
+        """Starts of the windows around exact pieces, by their number of words; and the places of items that are not looked for by walks."""
         out: dict[int, list[np.ndarray]] = {}
+        found: set[tuple[int, int]] = set()
         for size, (hashes, owners, offsets) in self.pieces.items():
             have = window_hashes(words, size, BASES[0])
             low = np.searchsorted(hashes, have, "left")
@@ -155,13 +162,18 @@ class ItemIndex:
                     e = self.allowed[owner]
                     length = len(self.items[owner][1])
                     start = at - int(offsets[first])
-                    out.setdefault(length, []).append(np.arange(start - e, start + e + 1))
+                    if self.sizes[length].exact:
+                        found.add((start, owner))
+                    else:
+                        out.setdefault(length, []).append(np.arange(start - e, start + e + 1))
                     first += 1
-        return {length: np.unique(np.concatenate(starts)) for length, starts in out.items()}
+        return {length: np.unique(np.concatenate(starts)) for length, starts in out.items()}, found
 
     def pairs(self, words: np.ndarray, text_of: np.ndarray) -> Iterator[tuple[int, int]]:
         """(window start, item) that meet under some walk; windows reach beyond a text's edge as empty words."""
-        for length, starts in self.windows(words, text_of).items():
+        by_length, found = self.windows(words, text_of)
+        yield from sorted(found)
+        for length, starts in by_length.items():
             size = self.sizes[length]
             for s in range(0, len(starts), 4096):
                 own = starts[s : s + 4096]
@@ -180,10 +192,11 @@ class ItemIndex:
                         at += 1
 
 
-def walks_needed(items: np.ndarray, e: int, walks: np.ndarray, places: np.ndarray, recall: float, rng) -> int:
-    """Walks after which simulated copies with ``e`` edits are met with the wanted recall."""
+def walks_needed(items: np.ndarray, e: int, walks: np.ndarray, places: np.ndarray, recall: float, rng) -> int | None:
+    """Walks after which simulated copies with ``e`` edits are met with the wanted recall; None if there are too few."""
     copies = []
-    for words in np.repeat(items, max(1, 200 // len(items)), axis=0):
+    wanted = min(1.0, recall + MARGIN)
+    for words in np.repeat(items, max(1, COPIES // len(items)), axis=0):
         edited = words.tolist()
         for _ in range(e):
             kind, at = rng.integers(3), int(rng.integers(len(edited))) if edited else 0
@@ -196,15 +209,15 @@ def walks_needed(items: np.ndarray, e: int, walks: np.ndarray, places: np.ndarra
         size = items.shape[1]
         copies.append((edited + [0] * size)[:size])
     edited_items = np.array(copies, np.uint64)
-    ours = np.repeat(items, max(1, 200 // len(items)), axis=0)
+    ours = np.repeat(items, max(1, COPIES // len(items)), axis=0)
     both = np.concatenate([edited_items, ours])
     met = np.zeros(len(ours), bool)
     for n in range(len(walks)):
         keys = embed(both, walks[n : n + 1], places[n : n + 1])[:, 0]
         met |= keys[: len(ours)] == keys[len(ours) :]
-        if met.mean() >= recall:
+        if met.mean() >= wanted:
             return n + 1
-    return len(walks)
+    return None
 
 
 def _leaks(part: pa.RecordBatch, index: ItemIndex) -> list[tuple]:
@@ -232,16 +245,30 @@ def _leaks(part: pa.RecordBatch, index: ItemIndex) -> list[tuple]:
     return [(row, at, s, t, d) for (row, at), (d, s, t) in sorted(best.items())]
 
 
-def _indexes(benchmark: DataFrame, edits: float, recall: float) -> list[ItemIndex]:
-    """Indexes of bounded size that hold all items; each means one pass over the documents."""
+def _chunks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """The distinct items in chunks of bounded size, fetched one after the other; each means one pass over the documents."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     chunks = max(1, -(-bytes_total(items, "text") // ITEM_BYTES))
     chunk_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks))
-    out = []
     for c in range(chunks):
         rows = {(r["item_id"], r["text"]) for r in items.where(chunk_of == c).collect()}
-        out.append(ItemIndex(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])), edits, recall))
-    return out
+        yield sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, edits: float, recall: float, name: str, one_pass) -> Iterator[DataFrame]:
+    """What ``one_pass(documents, index)`` gives for each chunk of items.
+
+    The last stays lazy; all before are written to the shared folder before the next index is built, so the driver holds one index at a time.
+    """
+    spark, waiting, folder, turn = docs.sparkSession, None, None, 0
+    for chunk in _chunks(benchmark):
+        if waiting is not None:
+            folder = folder or shared_dir(spark, name)
+            waiting.write.parquet(f"{folder}/{turn}")
+            docs = yield spark.read.schema(waiting.schema).parquet(f"{folder}/{turn}")
+            turn += 1
+        waiting = one_pass(docs, ItemIndex(chunk, edits, recall))
+    yield waiting
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL) -> DataFrame:
@@ -256,7 +283,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, reca
     names = [x.split()[0] for x in MATCHES.split(", ")]
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def pass_over(index: ItemIndex) -> DataFrame:
+    def pass_over(_: DataFrame, index: ItemIndex) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows: list[tuple] = []
@@ -267,26 +294,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, reca
 
         return slim.mapInArrow(search, MATCHES)
 
-    passes = [pass_over(index) for index in _indexes(benchmark, edits, recall)]
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionByName(more)
+    out = None
+    for found in _passes(slim, benchmark, edits, recall, "leaks", pass_over):
+        out = found if out is None else out.unionByName(found)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs``, with all columns, whose text holds no item; see ``find_leaks``."""
     schema = docs.schema
-    for index in _indexes(benchmark, edits, recall):
 
-        def clean(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
+    def pass_over(rest: DataFrame, index: ItemIndex) -> DataFrame:
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text", 1 << 20):
                     hit = {row for row, *_ in _leaks(part, index)}
                     yield part.filter(pa.array([i not in hit for i in range(part.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, schema)
-    return docs
+        return rest.mapInArrow(clean, schema)
+
+    passes = _passes(docs, benchmark, edits, recall, "clean", pass_over)
+    rest = next(passes)
+    while True:
+        try:
+            rest = passes.send(rest)  # the next pass reads what this one left
+        except StopIteration:
+            return rest
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str]], edits: float = EDITS) -> dict[tuple[int, int], int]:

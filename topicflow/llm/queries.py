@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from topicflow.llm import decontaminate, jaccard, language, lines, merkle, mixing, quality, repeats, spelling, suffixes, token_counts, url_rules, warc
 from topicflow.llm.common import table
-from topicflow.session import shared_dir
+from topicflow.session import lasting_dir, shared_dir
 
 URL_RULES = (
     ("org", "/", "allow"),
@@ -21,7 +21,7 @@ URL_RULES = (
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(
         table(spark, sf_dir, "documents"),
-        shared_dir(spark, "token-cache"),
+        lasting_dir(spark, "token-cache"),
         public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("byte_bpe_50k.tiktoken"),
     )

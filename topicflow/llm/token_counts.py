@@ -73,7 +73,9 @@ def encoder(path: str, ranks_path: str | None = None):
 def read_cache(spark: SparkSession, cache_dir: str) -> DataFrame:
     try:
         return spark.read.schema(CACHE).parquet(cache_dir)
-    except AnalysisException:  # nothing was stored yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE)
 
 
