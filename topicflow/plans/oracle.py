@@ -316,6 +316,10 @@ prompts AS (
 
 DIGEST = "length(abstract) || ' ' || md5(abstract)"
 
+TRENDS_OF_TOPICS = f"""WITH {PAPERS}, keys(rank, topic) AS (VALUES {VALUES_TOPICS}),{_trends("keys")}
+        SELECT topic, year, mentions, papers_with_topic, papers, round(CAST(mentions AS DOUBLE) / papers * 100, 6) AS percentage
+        FROM trends"""
+
 APPLIED = f"""WITH {PAPERS},
     newest AS (
       SELECT CAST(conv_id AS VARCHAR) AS paper_id, {_clean("text")} AS fresh FROM conversations
@@ -324,20 +328,21 @@ APPLIED = f"""WITH {PAPERS},
     SELECT paper_id, year, coalesce(fresh, summary) AS summary FROM papers LEFT JOIN newest USING (paper_id)"""
 
 ORACLE_SQL = {
-    "topic_trends": f"""WITH {PAPERS}, keys(rank, topic) AS (VALUES {VALUES_TOPICS}),{_trends("keys")}
-        SELECT topic, year, mentions, papers_with_topic, papers, round(CAST(mentions AS DOUBLE) / papers * 100, 6) AS percentage
-        FROM trends""",
+    "topic_trends": TRENDS_OF_TOPICS,
     "topic_trends_many": f"""WITH {PAPERS}, first(a) AS (SELECT unnest(string_split('aeiou', ''))), second(b) AS (SELECT unnest(string_split('lmnprstvdc', ''))),
         third(c) AS (SELECT unnest(string_split('aeiounrstl', ''))), keys(topic) AS (SELECT a || b || c FROM first, second, third)
         SELECT topic, year, CAST(sum({_mentions("body", "topic")}) AS BIGINT) AS mentions,
                count(*) FILTER (WHERE contains(body, topic)) AS papers_with_topic, count(*) AS papers
         FROM bodies, keys WHERE year BETWEEN 2020 AND 2024 GROUP BY topic, year""",
+    "topic_trends_repeated": TRENDS_OF_TOPICS,
     "clean_documents": f"WITH {PAPERS} SELECT paper_id, title, abstract, summary FROM papers",
     "flatten_notes": f"WITH {PAPERS},{FLAT} SELECT * FROM flat WHERE title <> '' AND abstract <> ''",
-    "schema_profile": f"""WITH {PAPERS}
-        SELECT conference, key, count(*) AS notes FROM papers
-        CROSS JOIN (VALUES ('title'), ('abstract'), ('TL;DR'), ('authors'), ('keywords'), ('venue')) k(key)
-        GROUP BY ALL""",
+    "schema_profile": f"""WITH {PAPERS}, kinds AS (
+          SELECT conference, key, count(*) AS notes, min(doc_id % 2) AS low, max(doc_id % 2) AS high,
+                 CASE WHEN key IN ('authors', 'keywords') THEN 'ARRAY<STRING>' WHEN key = 'venue' AND count(venue) = 0 THEN 'VOID' ELSE 'STRING' END AS kind
+          FROM papers CROSS JOIN (VALUES ('title'), ('abstract'), ('TL;DR'), ('authors'), ('keywords'), ('venue')) k(key) GROUP BY conference, key)
+        SELECT conference, key, notes, CASE WHEN low <> high THEN 'VARIANT' WHEN low = 0 THEN kind ELSE 'OBJECT<value: ' || kind || '>' END AS value_type
+        FROM kinds""",
     "merge_decisions": f"""WITH {PAPERS}
         SELECT paper_id AS forum, conference, paper_id,
                CASE quality WHEN 1 THEN 'Accept' WHEN 0 THEN 'Reject' END AS decision
@@ -509,5 +514,6 @@ ORACLE_SQL = {
         FROM (SELECT role, CASE WHEN role <> 'system' THEN CAST(turn + 1 AS DOUBLE) END AS s,
                      CASE WHEN role <> 'system' THEN length(text) END AS c FROM conversations)""",
     "trend_report": f"WITH {REPORT}\n{FACTS}",
+    "stored_report": f"WITH {REPORT} SELECT * FROM ({FACTS}) WHERE section <> 'trend_percentage'",
     "report_lines": f"WITH {REPORT}\n{LINES}",
 }

@@ -64,6 +64,12 @@ def topic_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.select("topic", "year", "mentions", "papers_with_topic", "papers", _six("percentage").alias("percentage"))
 
 
+def topic_trends_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list that names topics several times, and an empty one."""
+    trend = trends.track_topic_trends(src.papers(spark, sf_dir), [*TOPICS, "", *reversed(TOPICS), TOPICS[0]], *YEARS)
+    return trend.select("topic", "year", "mentions", "papers_with_topic", "papers", _six("percentage").alias("percentage"))
+
+
 #: 500 short needles, by a rule.
 MANY_TOPICS = tuple(a + b + c for a in "aeiou" for b in "lmnprstvdc" for c in "aeiounrstl")
 
@@ -83,7 +89,7 @@ def flatten_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.schema_profile(src.raw_notes(spark, sf_dir)).select("conference", "key", "notes")
+    return audit.schema_profile(src.raw_notes(spark, sf_dir))
 
 
 def merge_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,7 +442,10 @@ def model_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _summariser(papers: DataFrame) -> enrich.ExtractiveSummary:
-    return enrich.ExtractiveSummary(topic_ops.word_weights(trends.paper_texts(papers)))
+    """Weights are stored first: their size is known then, and while it is small the words of the texts are not shuffled to meet them."""
+    folder = shared_dir(papers.sparkSession, "weights")
+    topic_ops.word_weights(trends.paper_texts(papers)).write.parquet(folder)
+    return enrich.ExtractiveSummary(papers.sparkSession.read.parquet(folder))
 
 
 def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,9 +461,8 @@ def enrichment_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enrichment_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs of the resumable job over the document files; the second finds nothing to do."""
-    weights, results, checkpoint = (shared_dir(spark, name) for name in ("weights", "summaries", "enrichment"))
-    topic_ops.word_weights(trends.paper_texts(src.papers(spark, sf_dir))).write.parquet(weights)
-    model = enrich.ExtractiveSummary(spark.read.parquet(weights))
+    results, checkpoint = (shared_dir(spark, name) for name in ("summaries", "enrichment"))
+    model = _summariser(src.papers(spark, sf_dir))
     for _ in range(2):
         start_enrichment(src.arriving_papers(spark, sf_dir), results, checkpoint, model).awaitTermination()
     return read_results(spark, results).select("paper_id", "summary")
@@ -559,10 +567,41 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.report_lines(reports.trend_report(src.papers(spark, sf_dir), *YEARS))
 
 
+REPORT_FILE = (
+    "total_papers LONG, papers_per_year ARRAY<STRUCT<year: INT, papers: LONG>>, key_topics ARRAY<STRUCT<rank: INT, topic: STRING>>, "
+    "topic_trends ARRAY<STRUCT<topic: STRING, year: INT, mentions: LONG>>, "
+    "emerging_topics ARRAY<STRUCT<topic: STRING, growth_rate: DOUBLE, is_new: BOOLEAN>>, "
+    "topics ARRAY<STRUCT<topic: STRING, papers: LONG, centrality: LONG>>, cooccurrence ARRAY<STRUCT<topic1: STRING, topic2: STRING, cooccurrence: LONG>>"
+)
+
+
+def stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report saved as a JSON file, read back and laid out as facts."""
+    folder = shared_dir(spark, "report")
+    reports.save_report(reports.trend_report(src.papers(spark, sf_dir), *YEARS), folder)
+    saved = spark.read.text(folder, wholetext=True).select(F.from_json("value", REPORT_FILE).alias("r"))
+
+    def facts(section: str, rows: str, item: str, detail: str, value: str) -> F.Column:
+        fields = (item, detail, f"round(CAST({value} AS DOUBLE), 6)")
+        struct = ", ".join(f"'{n}', {e}" for n, e in zip(("section", "item", "detail", "value"), (f"'{section}'", *fields)))
+        return F.expr(f"transform(r.{rows}, x -> named_struct({struct}))")
+
+    every = F.concat(
+        facts("papers_per_year", "papers_per_year", "CAST(x.year AS STRING)", "''", "x.papers"),
+        facts("key_topics", "key_topics", "x.topic", "''", "x.rank"),
+        facts("trend_mentions", "topic_trends", "x.topic", "CAST(x.year AS STRING)", "x.mentions"),
+        facts("emerging_growth", "emerging_topics", "x.topic", "if(x.is_new, 'NEW', 'GROWING')", "x.growth_rate"),
+        facts("topic_frequency", "topics", "x.topic", "''", "x.papers"),
+        facts("centrality", "topics", "x.topic", "''", "x.centrality"),
+        facts("cooccurrence", "cooccurrence", "x.topic1", "x.topic2", "x.cooccurrence"),
+    )
+    return saved.select(F.inline(every))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        topic_trends, topic_trends_many, clean_documents, flatten_notes, schema_profile, merge_decisions, decision_coverage, missing_fields,
+        topic_trends, topic_trends_many, topic_trends_repeated, clean_documents, flatten_notes, schema_profile, merge_decisions, decision_coverage, missing_fields,
         venue_histogram, papers_load, papers_of_year, papers_of_year_limited, papers_of_repeated_years, papers_per_year,
         total_papers, term_statistics, top_terms_tfidf, emerging_topics, chart_emerging, chart_topic_trends,
         topic_document_frequency, topic_cooccurrence, topic_centrality, chart_centrality, knn_exact, knn_year_filtered,
@@ -570,6 +609,6 @@ QUERIES = {
         question_contexts, question_contexts_by_year, question_prompts, pending_summaries, applied_summaries, folded_summaries,
         summary_coverage, summary_samples, stripped_reasoning, model_topic_lines, rendered_prompts, prompt_comparison,
         topics_prompt, model_topics, extractive_summary, enrichment_counters, enrichment_incremental, run_statistics, trend_report,
-        enrichment_chunks, enrichment_stopped, enrichment_run_counters, enrichment_deadlines, report_lines, answered_questions, stored_notes, array_notes, stored_papers, stored_collection, rejected_papers, enrichment_failures,
+        stored_report, enrichment_chunks, enrichment_stopped, enrichment_run_counters, enrichment_deadlines, report_lines, answered_questions, stored_notes, array_notes, stored_papers, stored_collection, rejected_papers, enrichment_failures,
     )
 }
