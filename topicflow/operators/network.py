@@ -1,8 +1,7 @@
 """Which topics occur together: document frequencies, shared papers, centrality.
 
-Papers are first grouped by the set of topics they contain. There are far fewer such
-sets than papers, and the grouping combines before its shuffle, so pairs are only ever
-formed per distinct set, carrying its number of papers as a weight.
+Pairs of topics are formed within the row, from the topics a text holds, and counted with map-side combining: what is
+shuffled is one number for each pair and task, however many papers there are.
 """
 
 from __future__ import annotations
