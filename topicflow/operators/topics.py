@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from topicflow.functions.prompts import TOPIC_TEMPLATE
 from topicflow.functions.text import STOP_WORDS, neighbours, only_words, tokens, topic_lines
 from topicflow.operators.models import ModelFactory, complete
+from topicflow.session import shared_dir
 
 MAX_FEATURES = 1000
 MIN_DOCUMENTS = 2
@@ -67,6 +68,13 @@ def _words(texts: DataFrame, body: str, stop_words: Sequence[str]) -> DataFrame:
     return texts.select(tokens(F.coalesce(body, F.lit("")), stop_words).alias("words"))
 
 
+def _stored(words: DataFrame) -> DataFrame:
+    """Tokens written once below the shared folder for the passes that follow, none of which cleans or splits a text again."""
+    folder = shared_dir(words.sparkSession, "tokens")
+    words.write.parquet(folder)
+    return words.sparkSession.read.schema(words.schema).parquet(folder)
+
+
 def _pairs(words: DataFrame, allowed: frozenset[str] | None) -> DataFrame:
     """The frequent words of each text (null elsewhere) and the pairs they form."""
     frequent = F.col("words") if allowed is None else only_words("words", sorted(allowed))
@@ -84,7 +92,10 @@ def fit_vocabulary(
 
     Two jobs run, each returning a number of rows bounded by the vocabulary size.
     """
-    words = _words(texts, body, stop_words)
+    return _fitted(_stored(_words(texts, body, stop_words)), max_features, min_documents)
+
+
+def _fitted(words: DataFrame, max_features: int, min_documents: int) -> Vocabulary:
     fetched = max(FREQUENT_WORDS, max_features)
     common = F.col("documents") >= min_documents
     singles = _most_frequent(_counts(words, "words").where(common), fetched)
@@ -110,17 +121,19 @@ def top_terms(
     n: int = 10,
     body: str = "body",
     stop_words: Sequence[str] = STOP_WORDS,
-    **options,
+    max_features: int = MAX_FEATURES,
+    min_documents: int = MIN_DOCUMENTS,
 ) -> DataFrame:
     """The n terms with the largest summed TF-IDF weight (rank, topic, score); ties by term."""
-    vocabulary = fit_vocabulary(texts, body, stop_words=stop_words, **options)
+    words = _stored(_words(texts, body, stop_words))
+    vocabulary = _fitted(words, max_features, min_documents)
     if not vocabulary.terms:
         return texts.sparkSession.createDataFrame([], TOPIC_SCHEMA)
     names = [t for t, _, _ in vocabulary.terms]
-    pairs = _pairs(_words(texts, body, stop_words), vocabulary.words)
+    pairs = _pairs(words, vocabulary.words)
     grams = pairs.select(F.concat(F.array_compact("frequent"), "pairs").alias("grams"))
     counts = CountVectorizerModel.from_vocabulary(names, inputCol="grams", outputCol="tf")
-    idf = Vectors.dense(vocabulary.idf(texts.count()))
+    idf = Vectors.dense(vocabulary.idf(words.count()))
     weights = ElementwiseProduct(scalingVec=idf, inputCol="tf", outputCol="tfidf")
     unit = Normalizer(p=2.0, inputCol="tfidf", outputCol="unit")
     vectors = unit.transform(weights.transform(counts.transform(grams)))
@@ -156,7 +169,7 @@ def terms_of_selections(
     min_documents: int = MIN_DOCUMENTS,
     stop_words: Sequence[str] = STOP_WORDS,
 ) -> list[list[str]]:
-    """The first ``n`` terms of several selections of years, as :func:`top_terms` finds them, in three passes in all.
+    """The first ``n`` terms of several selections of years, as :func:`top_terms` finds them, in three passes over the tokens in all.
 
     Words, then pairs, are counted for all selections side by side, and the weighted vectors of all are summed in one
     aggregation, so the number of passes does not depend on that of the selections.
@@ -164,8 +177,9 @@ def terms_of_selections(
     every, fetched = range(len(selections)), max(FREQUENT_WORDS, max_features)
     wanted = texts.where(F.col("year").isin(sorted({y for years in selections for y in years})))
     weights = [w.alias(f"w{s}") for s, w in enumerate(_selected(selections))]
-    words = wanted.select(*weights, tokens(F.coalesce(body, F.lit("")), stop_words).alias("words"))
-    sizes = wanted.groupBy("year").count().collect()
+    stored = _stored(wanted.select("year", tokens(F.coalesce(body, F.lit("")), stop_words).alias("words")))
+    words = stored.select(*weights, "words")
+    sizes = stored.groupBy("year").count().collect()
     texts_of = [sum(r["count"] * list(years).count(r["year"]) for r in sizes) for years in selections]
 
     listed = words.select(
