@@ -30,13 +30,13 @@ GRADIENT, GAIN = 1e-8, 1e-5
 _HALVINGS = 40
 #: Share of a posterior's largest possible variance under which a domain is not told apart.
 LEAST_VARIANCE = 0.05
-_PUNCTUATION = ".,;:!?()\"'\t\n\x0b\x0c\r"
+_BETWEEN_WORDS = "[ .,;:!?()\"'\\t\\n\\x0b\\f\\r]+"
 
 
 def words_of(text: str | Column) -> Column:
     """Lower-case words between spaces and punctuation; null and blank texts have none."""
-    spaced = F.translate(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), _PUNCTUATION, " " * len(_PUNCTUATION))
-    return F.filter(F.split(spaced, " +"), lambda w: w != "")
+    lower = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    return F.filter(F.split(lower, _BETWEEN_WORDS), lambda w: w != "")
 
 
 def _buckets(words: Column) -> Column:
