@@ -317,6 +317,16 @@ def test_later_copies_edges(spark):
     assert out.count() == 0 and "block" in out.columns
 
 
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 300}])
+def test_a_text_without_an_id_is_no_earlier_copy(spark, options):
+    text, other = ("".join(chr(97 + (i * i * k) % 23) for i in range(90)) for k in (1, 5))
+    rows = [(None, text), (None, text + other), (-(2**63), other), (4, text), (9, text), (None, None)]
+    cut = suffixes.remove_later_copies(spark.createDataFrame(rows, "doc_id LONG, text STRING"), as_text=True, **options)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in cut.collect()), key=repr)
+    kept = [(None, 90, 0, 0, text), (None, 180, 0, 0, text + other), (-(2**63), 90, 0, 0, other), (4, 90, 0, 0, text), (9, 90, 90, 1, ""), (None, 0, 0, 0, "")]
+    assert got == sorted(kept, key=repr)
+
+
 def test_previous_factors_by_definition():
     rng = np.random.default_rng(1)
     windows, docs = rng.integers(0, 2, (300, 5)).astype(np.uint8), rng.integers(0, 40, 300)
