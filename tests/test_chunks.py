@@ -1,5 +1,6 @@
 """Chunked runs, deadlines and the breaker."""
 
+import pathlib
 import sys
 import time
 
@@ -194,3 +195,37 @@ def test_other_failures_are_raised(spark, arrivals):
 
     with pytest.raises(Exception, match="no such model"):
         chunks.run_chunks(spark, folder, broken)
+
+
+def test_many_chunks_take_few_batches(spark, arrivals):
+    papers, _, folder = arrivals
+    chunks.land_papers(papers, folder, 1)
+    assert not chunks.run_chunks(spark, folder, shouting, max_chunks=6)
+    assert sorted(r.chunk for r in chunks.read_outcomes(spark, folder).collect()) == list(range(6))
+    assert chunks.run_chunks(spark, folder, shouting)
+    counters = chunks.read_counters(spark, folder).collect()
+    assert len(counters) == len({r.chunk for r in counters}) == 48 and all((r.processed, r.errors, r.calls, r.attempt) == (1, 0, 1, 0) for r in counters)
+    assert chunks.read_outcomes(spark, folder).count() == 48 == chunks.read_summaries(spark, folder).distinct().count()
+    # 48 chunks were 48 batches once
+    assert len(list((pathlib.Path(folder) / "chunks" / "commits").glob("[0-9]*"))) <= 2
+
+
+def failing_on_some():
+    def call(texts):
+        if texts[0] in ("text 20", "text 21", "text 22"):
+            raise ConnectionError("away")
+        return shout(texts)
+
+    return call
+
+
+def test_a_wave_that_is_stopped_leaves_its_other_chunks_done(spark, arrivals):
+    papers, _, folder = arrivals
+    chunks.land_papers(papers, folder, 3)
+    assert not chunks.run_chunks(spark, folder, failing_on_some, policy(max_failures=1, attempts=1))
+    assert chunks.run_chunks(spark, folder, shouting)
+    done = chunks.read_outcomes(spark, folder).where("status = 'done'")
+    assert done.count() == done.select("paper_id").distinct().count() == 48 and done.where("attempt = 0").count() > 3
+    counters = chunks.read_counters(spark, folder).agg(F.sum("processed"), F.sum("errors"), F.sum("skipped")).first()
+    by_status = {r["status"]: r["count"] for r in chunks.read_outcomes(spark, folder).groupBy("status").count().collect()}
+    assert tuple(counters) == (48, by_status["failed"], by_status.get("skipped", 0))
