@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from topicflow.sources.arrays import read_json_elements, write_json_arrays
+from topicflow.sources.arrays import _range_bytes, read_json_elements, write_json_arrays
 from topicflow.sources.notes import read_note_arrays, read_split_note_arrays
 
 
@@ -76,3 +76,20 @@ def test_notes_equal_the_unsplit_reader(spark, small_ranges, tmp_path):
     rows = lambda df: sorted((r.conference, r.id, r.number, r.content and r.content.toJson(), r.decision and r.decision.toJson()) for r in df.collect())
     key = lambda r: tuple(map(str, r))
     assert sorted(rows(read_split_note_arrays(small_ranges, str(tmp_path))), key=key) == sorted(rows(read_note_arrays(spark, str(tmp_path))), key=key)
+
+
+def test_small_ranges_share_tasks(small_ranges, tmp_path):
+    expected = [{"id": i, "text": "}{[\\\"" * (i % 40)} for i in range(400)]
+    (tmp_path / "a.json").write_text(json.dumps(expected))
+    assert small_ranges.read.text(str(tmp_path)).rdd.getNumPartitions() > 100
+    elements = read_json_elements(small_ranges, str(tmp_path))
+    plan = elements.where("element is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 16, false" in plan
+    assert elements_of(small_ranges, str(tmp_path)) == sorted(json.dumps(x, sort_keys=True) for x in expected)
+
+
+@pytest.mark.parametrize("size, expected", [("300b", 300), ("262144", 262144), ("128MB", 128 << 20), ("1k", 1024), ("134217728b", 1 << 27)])
+def test_sizes_as_spark_writes_them(spark, size, expected):
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert _range_bytes(session) == expected

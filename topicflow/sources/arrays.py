@@ -4,11 +4,13 @@ The text source reads a file in byte ranges with ``}`` as the end of a line, so
 makes them, wherever the file lies. Whether a range begins within a string, and how deep, follows from the ranges before it: a
 first pass gives for each range how many quotes it holds and how it changes the depth, both if it begins within a string and if not;
 running sums over a file's ranges (a row each) then give every range its start. With that a second pass cuts the elements. Only
-what stands before the first and behind the last end of an element in a range is shuffled, to be joined to its other part.
+what stands before the first and behind the last end of an element in a range is shuffled, to be joined to its other part. Where
+ranges are small, a task reads many of them, so that their number costs rows and not tasks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,8 @@ _QUOTE, _ESCAPE = ord('"'), ord("\\")
 _STEP = np.zeros(256, np.int64)
 _STEP[[ord("{"), ord("[")]] = 1
 _STEP[[ord("}"), ord("]")]] = -1
+#: Bytes of ranges that a task may read, and tasks a core that are left in any case.
+TASK_BYTES, TASKS_PER_CORE = 128 << 20, 4
 #: What may stand between elements.
 _BETWEEN = b" \t\r\n,["
 
@@ -139,6 +143,19 @@ def _pieces(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(cut, PIECES)
 
 
+def _range_bytes(spark: SparkSession) -> int:
+    """The session's largest range; a size as Spark writes it, such as 128MB or 262144."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-z]?)[a-z]*\s*", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    return int(number) << {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}.get(unit, 0)
+
+
+def _in_few_tasks(lines: DataFrame) -> DataFrame:
+    """The ranges in tasks of about ``TASK_BYTES``, but some for each core; no range is moved or cut."""
+    spark, ranges = lines.sparkSession, lines.rdd.getNumPartitions()
+    tasks = max(-(-ranges * _range_bytes(spark) // TASK_BYTES), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return lines.coalesce(tasks) if tasks < ranges else lines
+
+
 def read_json_elements(spark: SparkSession, path: str) -> DataFrame:
     """``file, element``: the elements of JSON arrays of objects, as text, in UTF-8.
 
@@ -148,6 +165,7 @@ def read_json_elements(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("lineSep", END).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"
     )
+    lines = _in_few_tasks(lines)
     starts = _starts(_summaries(lines))  # a row for each range, that is, for some dozen MB
     placed = lines.join(F.broadcast(starts), ["file", "start"]).select("file", "start", "in_string", "depth", "value")
     pieces = _pieces(placed)
