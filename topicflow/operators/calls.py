@@ -13,12 +13,14 @@ import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from topicflow.operators.models import BatchFunction, ModelFactory
 
 DONE, FAILED, SKIPPED = "done", "failed", "skipped"
+#: Inputs that a task holds as Python strings at once.
+ROWS_AT_ONCE = 2048
 TIMEOUT, CONNECTION, OTHER = "timeout", "connection", "error"
 
 
@@ -153,18 +155,20 @@ def call_model(df: DataFrame, factory: ModelFactory, id_col: str, input_col: str
     ids = [id_col, *keep]
     columns = [*ids, output, "error", "kind", "attempts", "status"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheduler = Scheduler(factory(), policy)
-        for batch in batches:
-            outcomes = scheduler.run(batch[input_col].tolist())
-            told = {
-                output: [None if o.result is None else str(o.result) for o in outcomes],
-                "error": [o.error for o in outcomes],
-                "kind": [o.kind for o in outcomes],
-                "attempts": [o.attempts for o in outcomes],
-                "status": [o.status for o in outcomes],
-            }
-            yield pd.DataFrame({**{c: batch[c].tolist() for c in ids}, **told}, columns=columns)
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                outcomes = scheduler.run(batch.column(input_col).to_pylist())
+                told = [
+                    pa.array([None if o.result is None else str(o.result) for o in outcomes], pa.string()),
+                    pa.array([o.error for o in outcomes], pa.string()),
+                    pa.array([o.kind for o in outcomes], pa.string()),
+                    pa.array([o.attempts for o in outcomes], pa.int32()),
+                    pa.array([o.status for o in outcomes], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ids), *told], columns)
 
     types = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in ids]
-    return df.select(*ids, input_col).mapInPandas(run, ", ".join([*types, f"`{output}` STRING", "error STRING", "kind STRING", "attempts INT", "status STRING"]))
+    return df.select(*ids, input_col).mapInArrow(run, ", ".join([*types, f"`{output}` STRING", "error STRING", "kind STRING", "attempts INT", "status STRING"]))
