@@ -334,6 +334,21 @@ def test_previous_factors_by_definition():
     assert suffixes.with_previous_factor(windows, docs).tolist() == expected
 
 
+def test_ranges_of_minimizers_hold_about_equally_many():
+    data = np.random.default_rng(2).integers(0, 256, 200_000).astype(np.uint8)
+    *_, keys = suffixes.minimizer_runs(data, np.array([len(data)]), suffixes.LENGTH, suffixes.GRAM)
+    held = np.bincount(blocks.parts_of(np.unique(keys), 40), minlength=40)
+    assert held.max() < 2 * held.mean() and held.min() > held.mean() / 2
+
+
+@pytest.mark.parametrize("length", [1, 2, 7, 50])
+def test_bytes_that_windows_cover(length):
+    starts = np.random.default_rng(length).random(400) < 0.02
+    expected = [bool(starts[max(0, i - length + 1) : i + 1].any()) for i in range(400)]
+    assert suffixes._covered(starts, length).tolist() == expected
+    assert suffixes._covered(np.zeros(0, bool), length).tolist() == []
+
+
 # 8 Jaccard join
 
 
