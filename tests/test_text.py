@@ -45,6 +45,12 @@ def test_clean_text_restated(spark):
     assert values(spark, inputs, T.clean_text) == [restated(s) for s in inputs]
 
 
+def test_texts_are_normalised_a_few_at_a_time(spark):
+    """Not in Arrow batches, of which a worker holds thousands of whole texts."""
+    plan = spark.createDataFrame([("\ufb01ne",)], "s STRING").select(T.clean_text(F.col("s")))._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan
+
+
 def test_neutral_characters_cannot_matter():
     neutral = re.compile(f"[{T.NFKC_NEUTRAL}]")
     for point in range(0x80, 0x10000):

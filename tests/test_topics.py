@@ -209,3 +209,17 @@ def test_many_topics_in_one_scan(papers):
         needle = r.topic.lower()
         assert (r.mentions, r.papers_with_topic, r.papers) == (sum(b.count(needle) for b in bodies), sum(needle in b for b in bodies), len(bodies))
     assert found.count() == 3 * len(topics)
+
+
+def test_texts_reach_the_matcher_a_few_at_a_time(papers):
+    """Not in Arrow batches, of which a worker holds thousands of whole texts."""
+    plan = trends.track_topic_trends(papers, ["graph", "image"], 2021, 2024)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan
+
+
+def test_mentions_of_papers_without_text_or_year(spark):
+    rows = [("p1", None, None, None, 2022), ("p2", "graph", "a graph", "graph", 2022), ("p3", "graph", None, None, None)]
+    papers = spark.createDataFrame(rows, "paper_id STRING, title STRING, abstract STRING, summary STRING, year INT")
+    found = trends.yearly_mentions(trends.paper_texts(papers), ["graph", "image"]).collect()
+    got = {(r.year, r.rank): (r.topic, r.mentions, r.papers_with_topic, r.papers) for r in found}
+    assert got == {(2022, 1): ("graph", 3, 1, 2), (2022, 2): ("image", 0, 0, 2), (None, 1): ("graph", 1, 1, 1), (None, 2): ("image", 0, 0, 1)}

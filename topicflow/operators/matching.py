@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import ahocorasick
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Stands in for a topic's position where whole papers are counted.
@@ -37,6 +36,18 @@ class TopicMatcher:
         return found
 
 
+class _Mentions:
+    """Position and mentions of every topic that a text holds; the automaton is built once a task."""
+
+    def __init__(self, needles: Sequence[str]) -> None:
+        self.needles, self.matcher = needles, None
+
+    def __call__(self, text: str | None) -> list[tuple[int, int]]:
+        if self.matcher is None:
+            self.matcher = TopicMatcher(self.needles)
+        return list(self.matcher.mentions(text or "").items())
+
+
 def _lower(texts: DataFrame, topics: Sequence[str]) -> list[str]:
     """Topics in lower case as Spark has it."""
     if all(t.isascii() for t in topics):
@@ -47,27 +58,14 @@ def _lower(texts: DataFrame, topics: Sequence[str]) -> list[str]:
 def yearly_mentions(texts: DataFrame, topics: Sequence[str]) -> DataFrame:
     """``year, papers, rank, topic, mentions, papers_with_topic`` of ``texts`` (year, body) for every year that has texts, whatever the number of topics.
 
-    Texts are read once and searched once; a task passes on one row for each year and topic it has found.
+    Texts are read once and searched once. Python gets a few of them at a time, not an Arrow batch of thousands of whole texts,
+    and counts are combined in the task: it passes on one row for each year and topic it has found.
     """
-    needles = _lower(texts, topics)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = TopicMatcher(needles)
-        mentions: Counter = Counter()
-        papers: Counter = Counter()
-        for batch in batches:
-            for year, body in zip(batch.column("year").to_pylist(), batch.column("body")):
-                papers[year, _PAPERS] += 1
-                for i, n in matcher.mentions(body.as_py() or "").items():
-                    mentions[year, i] += n
-                    papers[year, i] += 1
-        keys = list(papers)
-        columns = [[y for y, _ in keys], [i for _, i in keys], [mentions[k] for k in keys], [papers[k] for k in keys]]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["year", "pos", "mentions", "papers"])
-
-    rows = texts.select(F.col("year").cast("int").alias("year"), "body").mapInArrow(count, "year INT, pos INT, mentions LONG, papers LONG")
-    summed = rows.groupBy("year", "pos").agg(F.sum("mentions").alias("mentions"), F.sum("papers").alias("papers"))
+    find = F.udf(_Mentions(_lower(texts, topics)), "array<struct<pos: int, mentions: bigint>>", useArrow=False)
+    found = texts.select(F.col("year").cast("int").alias("year"), find("body").alias("found"))
+    whole = F.array(F.struct(F.lit(_PAPERS).alias("pos"), F.lit(0).cast("long").alias("mentions")))
+    rows = found.select("year", F.inline(F.concat(whole, "found")))
+    summed = rows.groupBy("year", "pos").agg(F.sum("mentions").alias("mentions"), F.count("*").alias("papers"))
     is_topic = F.col("pos") != _PAPERS
     per_year = summed.groupBy("year").agg(
         F.max(F.when(~is_topic, F.col("papers"))).alias("papers"),
